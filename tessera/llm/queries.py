@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing
+from tessera.llm import chat, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_chat_format": chat.op3_chat_format,
+        "op5_label_sharding": sharding.op5_label_sharding,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat_format": chat.OP3_SQL,
+    }
