@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, sharding
+from tessera.llm import chat, exact, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op3_chat_format": chat.op3_chat_format,
+        "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_label_sharding": sharding.op5_label_sharding,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
@@ -16,4 +17,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_format": chat.OP3_SQL,
+        "op4_exact_dedup": exact.OP4_SQL,
     }
