@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact, mixing, sharding
+from tessera.llm import chat, exact, fingerprints, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
         "op3_chat_format": chat.op3_chat_format,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_label_sharding": sharding.op5_label_sharding,
