@@ -107,14 +107,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     plain = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_chars"), normalised(F.col("text")).alias("_text"))
     texts = plain.select(F.struct("doc_id", F.xxhash64("_text").alias("h")).alias("_key"), "_text", "doc_id", "_chars", F.sha2("_text", 256).alias("text_sha256"))
-    found = checkpointed(identities(texts).drop("_key"))
+    # of rows that repeat the best one the first stays; they are numbered before the join, which may split a hot group
+    again = Window.partitionBy("doc_id", "_blocks", "_name", "_chars").orderBy("text_sha256")
+    found = checkpointed(identities(texts).drop("_key").withColumn("_again", F.row_number().over(again)))
     best = F.max(F.struct(F.col("_chars"), -F.col("doc_id"), F.col("doc_id").alias("id")))
     groups = found.groupBy("_blocks", "_name").agg(best.alias("_best"), F.count("*").alias("group_size"))
     out = found.join(groups, ["_blocks", "_name"])
-    # rows that repeat the best one: the first stays
-    again = Window.partitionBy("doc_id", "_blocks", "_name", "_chars").orderBy("text_sha256")
     is_best = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == F.col("_best._chars"))
-    out = out.withColumn("_again", F.row_number().over(again))
     return out.select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", (is_best & (F.col("_again") == 1)).alias("kept"), "text_sha256")
 
 
