@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact, fingerprints, mixing, quality, sharding
+from tessera.llm import bpe, chat, exact, fingerprints, jaccard, mixing, quality, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_chat_format": chat.op3_chat_format,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_label_sharding": sharding.op5_label_sharding,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
         "op10_mix_sources": mixing.op10_mix_sources,
