@@ -96,7 +96,8 @@ def with_next(docs: DataFrame, extras: dict[str, Column] | None = None) -> DataF
     before = ids.select(F.pmod(F.col("_rank") + 1, F.lit(max(n, 1))).alias("_rank"), F.col("_id").alias("_to"), F.col("_quarter").alias("_need"))
     route = ids.join(before, "_rank").select("_id", "_to", "_need")
     here = plain.join(route, "_id")
-    first = Window.partitionBy("_id").orderBy("text")
+    # by doc_id too, so that both uses of `here` read the same columns and share one exchange
+    first = Window.partitionBy("_id").orderBy("text", "doc_id")
     sent = here.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
     sent = sent.select(F.col("_to").alias("_id"), F.substring("text", F.lit(1), F.col("_need")).alias("_opening"), *[c.alias(k) for k, c in (extras or {}).items()])
     out = here.select("_id", "doc_id", "text", quarter.alias("_quarter")).join(sent, "_id")
