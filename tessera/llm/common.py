@@ -80,3 +80,18 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     placed = dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.withColumn(name, row + F.col("_before")).drop("_at", "_part", "_before")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text hash are in kept (doc_id, text_hash), with all their columns.
+
+    Of rows that repeat in both, one stays.
+    """
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    repeated = kept.groupBy("_id", "_hash").count().filter("count > 1").limit(1).count()
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    out = marked.join(kept, same, "left_semi")
+    if repeated or docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_text_hash"])
+    return out.drop("_text_hash")

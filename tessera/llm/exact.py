@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, partitions, table
+from tessera.llm.common import checkpointed, keep_rows, partitions, table
 
 #: Code points of a block.
 BLOCK = 4096
@@ -101,24 +101,29 @@ def identities(texts: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per document.
+    """Rows (doc_id, keep_id, group_size, kept, text_sha256, text_hash), one per document.
 
     Of equal texts the row with the most code points in its original text stays, then the smallest doc_id.
     """
-    plain = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_chars"), normalised(F.col("text")).alias("_text"))
-    texts = plain.select(F.struct("doc_id", F.xxhash64("_text").alias("h")).alias("_key"), "_text", "doc_id", "_chars", F.sha2("_text", 256).alias("text_sha256"))
+    plain = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_chars"), normalised(F.col("text")).alias("_text"), F.xxhash64("text").alias("text_hash"))
+    texts = plain.select(F.struct("doc_id", F.xxhash64("_text").alias("h")).alias("_key"), "_text", "doc_id", "_chars", "text_hash", F.sha2("_text", 256).alias("text_sha256"))
     # of rows that repeat the best one the first stays; they are numbered before the join, which may split a hot group
-    again = Window.partitionBy("doc_id", "_blocks", "_name", "_chars").orderBy("text_sha256")
+    again = Window.partitionBy("doc_id", "_blocks", "_name", "_chars").orderBy("text_hash")
     found = checkpointed(identities(texts).drop("_key").withColumn("_again", F.row_number().over(again)))
     best = F.max(F.struct(F.col("_chars"), -F.col("doc_id"), F.col("doc_id").alias("id")))
     groups = found.groupBy("_blocks", "_name").agg(best.alias("_best"), F.count("*").alias("group_size"))
     out = found.join(groups, ["_blocks", "_name"])
     is_best = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == F.col("_best._chars"))
-    return out.select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", (is_best & (F.col("_again") == 1)).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", (is_best & (F.col("_again") == 1)).alias("kept"), "text_sha256", "text_hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return keep_rows(docs, deduplicate(docs).filter("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP4_SQL = r"""

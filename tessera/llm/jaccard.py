@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import checkpointed, table, uniform
+from tessera.llm.common import checkpointed, keep_rows, table, uniform
 from tessera.llm.components import components
 
 #: One of so many documents is sampled for common tokens, those in at least SEEN sampled ones; COMMON at most.
@@ -88,7 +88,7 @@ def _ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, n, s, prefix): the set's size, identity and prefix."""
+    """Rows (doc_id, text_hash, n, s, prefix): the set's size, identity and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +107,12 @@ def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
                 place = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
                 kept = tokens[order][place < np.repeat(length, n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n, pa.int64()), pa.array(_identities(tokens, offsets)), _lists(kept, np.concatenate([[0], np.cumsum(length)]))],
-                    ["doc_id", "n", "s", "prefix"],
+                    [batch.column(0).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n, pa.int64()), pa.array(_identities(tokens, offsets)), _lists(kept, np.concatenate([[0], np.cumsum(length)]))],
+                    ["doc_id", "text_hash", "n", "s", "prefix"],
                 )
                 at += rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s bigint, prefix array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, s bigint, prefix array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -210,7 +210,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per document."""
+    """Rows (doc_id, n_shingles, component_id, text_hash), one per document."""
     found = checkpointed(_prefixed(docs, width, percent, _common_tokens(docs, width)))
     full = found.filter("n > 0")
     sets = checkpointed(full.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
@@ -219,9 +219,17 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     joined = roots.join(least, "root").select(F.col("node").alias("s"), "least")
     names = sets.select("s", "rep").join(joined, "s", "left").select("s", F.coalesce("least", "rep").alias("component_id"))
-    out = full.select("doc_id", "n", "s").join(names, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = full.select("doc_id", "n", "s", "text_hash").join(names, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    return out.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
+
+
+def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of each class the row with the smallest doc_id (then text hash), with all its columns; texts without words stay."""
+    found = checkpointed(jaccard_classes(docs, width, percent))
+    classes = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("_best"))
+    kept = classes.select("_best.doc_id", "_best.text_hash")
+    return keep_rows(docs, kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "text_hash")))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85).drop("text_hash")

@@ -136,30 +136,39 @@ def _copies(rate: Column, bulk: Column, singles: Column, key: Column) -> Column:
     return F.aggregate(singles, moved, lambda n, m: F.when(m["key"] == key, n + m["dir"]).otherwise(n))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, rate, copies, taken), one per document."""
+def _name(source: Column) -> Column:
+    """Null sources join like any other, through a name that no source has."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
+def _key(doc_id: Column, source: Column, size: Column) -> Column:
+    return F.xxhash64(doc_id, source, size)
+
+
+def _with_copies(df: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """df (_source, _key, ...) with its source's plan and the copies of each row."""
+    out = join_lookup(df, plan, "_source", n_sources)
+    return out.withColumn("copies", _copies(F.col("rate"), F.col("_bulk"), F.col("_singles"), F.col("_key")))
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame, int]:
+    """(base, plan, sources): documents without their texts, and one row per source with its rate and corrections."""
     base = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     # rows that repeat are counted, rounded alike and dealt out again at the end
     base = base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_rows"))
-    base = checkpointed(base.withColumn("_key", F.xxhash64("doc_id", "source", "size")).withColumn("_tokens", F.col("_rows") * F.col("size")))
+    key = _key(F.col("doc_id"), F.col("source"), F.col("size"))
+    base = checkpointed(base.withColumn("_key", key).withColumn("_tokens", F.col("_rows") * F.col("size")))
     totals = base.groupBy("source").agg(F.sum("_tokens").alias("total"))
     plan = source_targets(totals, weights, cap)
     rate = F.least(F.exp(newton_separable(F.col("total"), F.col("target"))), F.lit(float(cap)))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     move = "array<struct<seed int, p double, dir int>>"
     single = "array<struct<key bigint, dir int>>"
-    # null sources join like any other through a name that no source has
-    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    plan = plan.select(name.alias("_source"), "total", "target", rate.alias("rate"), F.array().cast(move).alias("_bulk"), F.array().cast(single).alias("_singles"))
-    plan, base = checkpointed(plan), base.withColumn("_source", name)
+    plan = plan.select(_name(F.col("source")).alias("_source"), "total", "target", rate.alias("rate"), F.array().cast(move).alias("_bulk"), F.array().cast(single).alias("_singles"))
+    plan, base = checkpointed(plan), base.withColumn("_source", _name(F.col("source")))
     n_sources = plan.count()
-
-    def joined(plan):
-        out = join_lookup(base, plan, "_source", n_sources)
-        return out.withColumn("copies", _copies(F.col("rate"), F.col("_bulk"), F.col("_singles"), F.col("_key")))
-
     for i in range(BULK_PASSES + SINGLE_PASSES if n_sources else 0):
-        now, low = joined(plan), F.floor("rate")
+        now, low = _with_copies(base, plan, n_sources), F.floor("rate")
         up, down = (F.col("rate") > low) & (F.col("copies") == low), (F.col("rate") > low) & (F.col("copies") == low + 1)
         if i < BULK_PASSES:
             found = now.groupBy("_source").agg(
@@ -184,10 +193,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
             step = F.struct(F.col("_best._key").alias("key"), F.col("_best._dir").alias("dir"))
             plan = plan.withColumn("_singles", F.when(F.col("_best._rest") < F.col("_gap"), F.array_append("_singles", step)).otherwise(F.col("_singles")))
         plan = checkpointed(plan.select("_source", "total", "target", "rate", "_bulk", "_singles"))
-    out = joined(plan).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
+    return base, plan, n_sources
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, rate, copies, taken), one per document."""
+    base, plan, n_sources = mix_plan(docs, weights, cap)
+    out = _with_copies(base, plan, n_sources).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
     return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def copied(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """docs with every row as often as the mix takes it; texts stay where they are."""
+    _, plan, n_sources = mix_plan(docs, weights, cap)
+    named = docs.withColumn("_source", _name(F.col("source")))
+    named = named.withColumn("_key", _key(F.col("doc_id"), F.col("source"), words(F.col("text"))))
+    out = _with_copies(named, plan.select("_source", "rate", "_bulk", "_singles"), n_sources).filter("copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
