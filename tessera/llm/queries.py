@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact, fingerprints, jaccard, mixing, quality, sharding
+from tessera.llm import bpe, chat, exact, fingerprints, html, jaccard, mixing, quality, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
+        "op9_html_extract": html.op9_html_extract,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
