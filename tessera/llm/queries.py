@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact, fingerprints, html, jaccard, mixing, quality, sharding
+from tessera.llm import bpe, chat, exact, fingerprints, html, jaccard, mixing, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_url_filter": urls.op2_url_filter,
         "op3_chat_format": chat.op3_chat_format,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_label_sharding": sharding.op5_label_sharding,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": urls.OP2_SQL,
         "op3_chat_format": chat.OP3_SQL,
         "op4_exact_dedup": exact.OP4_SQL,
     }
