@@ -156,8 +156,12 @@ def _verify(percent: int):
             return x
 
         links = []
+        if block["within"][0].as_py() and not block["block"][0].as_py():
+            queries = np.concatenate([members, queries])  # the group's own pairs, once
         for q in queries:
             for m in _linked(sets[q], tokens, owner, sizes, percent):
+                if members[m] == q:
+                    continue
                 a, b = find(int(s[q])), find(int(s[members[m]]))
                 if a != b:
                     root[a] = b
@@ -196,15 +200,17 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     matrix = posts.groupBy("token", "g").agg(F.count("*").alias("rows"))
     matrix = matrix.join(spans, "g").select("token", F.col("g").alias("other"), "low", "high", "members")
     fits = F.expr(f"(g < other or (g = other and members > 1)) and 100 * high >= {percent} * n and {percent} * low <= 100 * n")
-    overlap = posts.join(matrix, "token").filter(fits).groupBy("s", "n", "other").agg(F.count("*").alias("overlap"), F.first("low").alias("low"), F.first("high").alias("high"))
-    opened = checkpointed(overlap.filter(F.expr(f"overlap >= {_ask('n', 'low', 'high', percent)}")).select("s", F.col("other").alias("g")))
-    asked = opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
-    held = like.join(asked, "g").select("s", "g", "blocks")
+    overlap = posts.join(matrix, "token").filter(fits).groupBy("s", "n", "g", "other").agg(F.count("*").alias("overlap"), F.first("low").alias("low"), F.first("high").alias("high"))
+    opened = checkpointed(overlap.filter(F.expr(f"overlap >= {_ask('n', 'low', 'high', percent)}")).select("s", F.col("other").alias("g"), (F.col("g") == F.col("other")).alias("own")))
+    # a group's own members come to it once, also if they ask
+    blocks = F.greatest(F.ceil(F.count_if(~F.col("own")) / BLOCK_QUERIES), F.lit(1)).cast("int")
+    asked = opened.groupBy("g").agg(blocks.alias("blocks"), F.max("own").alias("within"))
+    held = like.join(asked, "g").select("s", "g", "blocks", "within")
     wanted = opened.select("s").unionByName(held.select("s")).distinct().join(sets.select("s", "rep"), "s")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     whole = checkpointed(_whole_sets(texts, width))
-    asking = opened.join(asked, "g").select("g", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), "s")
-    answer = held.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "s")
+    asking = opened.filter(~F.col("own")).join(asked, "g").select("g", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "within", F.lit(True).alias("query"), "s")
+    answer = held.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "within", F.lit(False).alias("query"), "s")
     blocks = asking.unionByName(answer).join(whole, "s")
     return blocks.groupBy("g", "block").applyInArrow(_verify(percent), "a bigint, b bigint")
 
