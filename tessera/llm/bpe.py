@@ -26,14 +26,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm import textbytes as tb
 from tessera.llm.common import table
 
 #: Pieces of more bytes are merged through a heap.
 LONG = 256
 #: Cells of a matrix at most.
-CELLS = 1 << 21
+CELLS = 1 << 18
 #: Encoded pieces that a worker keeps.
-CACHE = 300_000
+CACHE = 100_000
 _NONE = np.int64(1) << 40
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,10 +217,6 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-#: Characters of text that are encoded together.
-_BATCH_CHARS = 1 << 21
-
-
 def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str] | None = None, ids: bool = True) -> DataFrame:
     """Columns `keep` of docs, with n_tokens, ids (binary, if asked for), ids_sha256 and decoded_sha256.
 
@@ -231,27 +228,15 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str] | None
     schema = T.StructType([*(docs.schema[c] for c in keep), *own])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def groups(texts: list[str]) -> Iterator[list[str]]:
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= _BATCH_CHARS:
-                yield texts[at : i + 1]
-                at, size = i + 1, 0
-        yield texts[at:]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value, pattern)
         for batch in batches:
-            found = []
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for group in groups(texts):
-                for out in bpe.encode_batch(group):
-                    digest = hashlib.sha256(bpe.decode(out)).hexdigest()
-                    found.append((len(out) // 4, out, hashlib.sha256(out).hexdigest(), digest))
-            n, raw, a, b = zip(*found, strict=True) if found else ((), (), (), ())
-            made = [pa.array(n, pa.int64())] + [pa.array(raw, pa.binary())] * ids + [pa.array(a, pa.string()), pa.array(b, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], schema.names)
+            for part in tb.slices(batch, len(keep)):
+                raw = bpe.encode_batch([t or "" for t in part.column(len(keep)).to_pylist()])
+                made = [pa.array([len(x) // 4 for x in raw], pa.int64())] + [pa.array(raw, pa.binary())] * ids
+                made.append(pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()))
+                made.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in raw], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
 
     return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
 

@@ -178,8 +178,10 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(features(batch.column(batch.schema.names.index("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
+            at = batch.schema.names.index("text")
+            for part in tb.slices(batch, at):
+                score = model.score(features(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

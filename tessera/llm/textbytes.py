@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: White space as the word pattern has it: space and U+0009 to U+000D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,6 +45,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         at = end
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about limit bytes, so that results leave early."""
+    for first, last, _, _ in chunks(batch.column(column), limit):
+        yield batch.slice(first, last - first)
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
