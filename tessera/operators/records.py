@@ -33,8 +33,10 @@ def _comment_fold(doc: Column, dialect: Dialect) -> Column:
         starts = F.when(odd(line), made(F.lit(True), line, a["out"])).otherwise(made(F.lit(False), none, F.array_append(a["out"], line)))
         return F.when(a["open"], inside).when(F.startswith(line, F.lit(dialect.comment)), a).otherwise(starts)
 
-    lines = _without_remainder(F.split(doc, "\n"))
-    return F.aggregate(lines, state, step, lambda a: F.when(a["open"], F.array_append(a["out"], a["now"])).otherwise(a["out"]))
+    # the remainder takes part, since an open quote may hold the last newline; where none is open it ends as ""
+    ended = (doc == "") | F.endswith(doc, F.lit("\n"))
+    closed = lambda out: F.when(ended, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+    return F.aggregate(F.split(doc, "\n"), state, step, lambda a: F.when(a["open"], F.array_append(a["out"], a["now"])).otherwise(closed(a["out"])))
 
 
 def document_records(doc: Column, dialect: Dialect) -> Column:

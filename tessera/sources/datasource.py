@@ -34,7 +34,7 @@ class FrameRun(InputPartition):
 
 
 class FramedReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options):
         self.framing = framing_option(options.get("framing", "bgzf"))
         self.decode = options.get("decoder", "deflate" if self.framing in ("bgzf", BGZF) else "none")
         self.run = int(options.get("framesPerPartition", "256"))
@@ -69,4 +69,4 @@ class FramedSource(DataSource):
         return f"path string, {FRAME_COLUMNS}, payload binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FramedReader(dict(self.options))
+        return FramedReader(self.options)
