@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact, jaccard, mixing, quality
-from tessera.llm.common import table
+from tessera.llm.common import free_name, table
 
 #: Shingle width and least similarity in percent of the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -22,7 +22,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = free_name(docs, "_score")
+    return quality.scored(docs, model, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

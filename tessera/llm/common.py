@@ -88,10 +88,17 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     Of rows that repeat in both, one stays.
     """
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    repeated = kept.groupBy("_id", "_hash").count().filter("count > 1").limit(1).count()
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    # the row travels as one column, so its names can't clash
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     out = marked.join(kept, same, "left_semi")
-    if repeated or docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_text_hash"])
-    return out.drop("_text_hash")
+    if marked.groupBy("_doc_id", "_text_hash").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_doc_id", "_text_hash"])
+    return out.select("_row.*")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -206,11 +206,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 def copied(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs with every row as often as the mix takes it; texts stay where they are."""
     _, plan, n_sources = mix_plan(docs, weights, cap)
-    named = docs.withColumn("_source", _name(F.col("source")))
-    named = named.withColumn("_key", _key(F.col("doc_id"), F.col("source"), words(F.col("text"))))
+    key = _key(F.col("doc_id"), F.col("source"), words(F.col("text")))
+    # the row travels as one column, so its names can't clash
+    named = docs.select(F.struct(*docs.columns).alias("_row"), _name(F.col("source")).alias("_source"), key.alias("_key"))
     out = _with_copies(named, plan.select("_source", "rate", "_bulk", "_singles"), n_sources).filter("copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

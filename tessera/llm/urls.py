@@ -69,7 +69,9 @@ def keys(url: Column) -> Column:
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (url, fetched_on, ...) with host, pattern, action, listed_on and blocked."""
+    """captures (url, fetched_on, ...) with host, pattern, action, listed_on and blocked, in place of columns so named."""
+    made = ("host", "pattern", "action", "listed_on", "blocked")
+    captures = captures.select(*[c for c in captures.columns if c not in made])
     lists = intervals(entries)
     asked = captures.select("url", "fetched_on").distinct().withColumn("_key", F.explode(keys(F.col("url"))))
     holds = (F.col("fetched_on") >= F.col("valid_from")) & (F.col("fetched_on") < F.col("valid_until"))
