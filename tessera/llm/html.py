@@ -48,7 +48,7 @@ EXCLUDED_WORDS = frozenset(
     "notice notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Share of the slots' text that a container must hold to be descended into.
-MOST = 0.8
+MOST = 0.9
 #: Pages that must agree on a text before it counts as the template's.
 AGREE = 8
 #: Nesting beyond which parts are kept at one level, and hosts that a task holds at once.
@@ -210,6 +210,8 @@ def rules(wrapper: dict) -> dict:
     at, path = wrapper, []
     while True:
         total = _mass(at)
+        if at["k"].split(".")[0] in ("article", "main"):
+            break
         into = [x for x in at["d"] if x["k"].split(".")[0] in CONTAINERS and not x["x"]]
         into = [x for x in into if total and _mass(x) >= MOST * total]
         if not into or at["c"] > (1 - MOST) * total and at["k"]:
