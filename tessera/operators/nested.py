@@ -35,10 +35,10 @@ def structural_index(docs: DataFrame, doc: str, dialect: Dialect, key: str) -> D
     return docs.select(key, F.posexplode(places).alias("tape_idx", "p")).select(key, "tape_idx", F.col("p.pos").alias("pos"), F.col("p.byte").alias("byte"))
 
 
-def tape(docs: DataFrame, doc: str, dialect: Dialect, key: str) -> DataFrame:
+def tape(docs: DataFrame, doc: str, dialect: Dialect, key: str, kinds: bool = True) -> DataFrame:
     """The index with level and partner (the partner's pos) of brackets; null for an unmatched one.
 
-    bad marks a close without an open of its kind.
+    bad marks a close without an open of its kind, or, without kinds, of any kind.
     """
     index = structural_index(docs, doc, dialect, key)
     opens, closes = [a for a, _ in dialect.nesting], [b for _, b in dialect.nesting]
@@ -52,7 +52,7 @@ def tape(docs: DataFrame, doc: str, dialect: Dialect, key: str) -> DataFrame:
     index = index.withColumn("_next", F.lead("pos").over(peers)).withColumn("_before", F.lag("pos").over(peers)).withColumn("_open", F.lag("byte").over(peers))
     right = F.lit(False)
     for a, b in dialect.nesting:
-        right = right | ((F.col("byte") == b) & (F.col("_open") == a))
+        right = right | ((F.col("byte") == b) & (F.col("_open") == a) if kinds else F.col("_open").isin(*opens))
     bad = (F.col("turn") == -1) & ~F.coalesce(right & (F.col("depth") >= 0), F.lit(False))
     index = index.withColumn("bad", bad)
     partner = F.when(F.col("turn") == 1, F.col("_next")).when((F.col("turn") == -1) & ~F.col("bad"), F.col("_before"))

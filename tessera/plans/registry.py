@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import cells
-from tessera.operators import columns, nested, records, stats
-from tessera.sources import framing
+from tessera.operators import bitstreams, columns, nested, records, stats
+from tessera.sources import framing, modules
 from tessera.sources.spec import DIALECTS, SPECS, Spec, with_columns
 from tessera.sources.spec import Column as Col
 from tessera.streaming import records as streaming
@@ -489,6 +489,73 @@ def stream_equals_batch(spark, sf_dir):
     return streaming.replayed(streaming.sequenced(docs, 5), CSV)
 
 
+# --- counts, kinds, programs, states
+
+
+@query("SELECT count(*) AS reads, count(*) * 4 AS pairs FROM orders")
+def structural_counts(spark, sf_dir):
+    """Counts read off the index alone: newlines by four, and key separators."""
+    t = table(spark, sf_dir, "orders")
+    read = F.concat(F.lit("@r\n"), "o_orderstatus", F.lit("\n+\n!\n"))
+    reads = F.floor(records.terminated_count(read, DIALECTS["lines"]) / 4)
+    line = F.concat(F.lit('a=1 b="x=y" c='), "o_orderstatus", F.lit(" d=2"))
+    pairs = F.size(cells.split_live(line, LOGFMT, ("=",))) - 1
+    return t.agg(F.sum(reads).alias("reads"), F.sum(pairs).cast("bigint").alias("pairs"))
+
+
+@query("SELECT n_nationkey, CAST(t.p AS BIGINT) AS pos, CAST(t.q AS BIGINT) AS partner FROM nation, (VALUES (0, 3), (3, 0), (1, 2), (2, 1)) t(p, q)")
+def nested_any_kind(spark, sf_dir):
+    docs = table(spark, sf_dir, "nation").select("n_nationkey", F.lit("[{]}").alias("doc"))
+    return nested.tape(docs, "doc", JSON, "n_nationkey", kinds=False).select("n_nationkey", "pos", "partner")
+
+
+PROGRAM = """table-ir 1
+format csv
+structural 2c,0a
+quote 22
+escape none
+%0 = class 22
+%1 = prefix-xor %0
+%2 = class 0a,2c
+%3 = not %1
+%4 = and %2 %3
+%5 = class 0a
+output %4
+terminators %5
+"""
+
+
+@query("SELECT n_nationkey, CAST(t.i AS INTEGER) AS tape_idx, CAST(CASE t.i WHEN 0 THEN strlen(n_name) + 4 ELSE strlen(n_name) + 5 + strlen(CAST(n_regionkey AS VARCHAR)) END AS BIGINT) AS pos FROM nation, (VALUES (0), (1)) t(i)")
+def bitstream_positions(spark, sf_dir):
+    doc = F.concat(quoted(F.concat("n_name", F.lit(",\n"))), F.lit(","), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    docs = table(spark, sf_dir, "nation").select("n_nationkey", F.encode(doc, "UTF-8").alias("content"))
+    return bitstreams.positions(docs, "content", modules.parse_module(PROGRAM), "n_nationkey")
+
+
+@query("SELECT count(*) FILTER (WHERE text <> '') > 0 AS any, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text) - strlen(replace(text, chr(10), ''))) AS BIGINT) AS newlines FROM documents")
+def frames_fold(spark, sf_dir):
+    """A caller's own state over inflated payloads, merged over tasks."""
+    got = framing.decoded(framing.frames(_bgzf(spark, sf_dir), "bgzf", key="doc_id"))
+    step = lambda state, payload: (state[0] + 1, state[1] + len(payload), state[2] + payload.count(b"\n"))
+    states = framing.fold_payloads(got, lambda: (0, 0, 0), step, "blocks bigint, bytes bigint, newlines bigint")
+    return states.agg((F.sum("blocks") > 0).alias("any"), F.sum("bytes").alias("bytes"), F.sum("newlines").alias("newlines"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS frames, CAST(sum(strlen(r_name)) AS BIGINT) AS bytes FROM region")
+def bgzf_canonical(spark, sf_dir):
+    """The described layout in place of the walk of the extra field."""
+
+    def press(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([framing.write_bgzf(x) for x in b.column(1).to_pylist()], pa.binary())], ["r_regionkey", "content"])
+
+    files = table(spark, sf_dir, "region").select("r_regionkey", F.encode("r_name", "UTF-8").alias("content")).mapInArrow(press, "r_regionkey int, content binary")
+    got = framing.decoded(framing.frames(files, framing.BGZF, key="r_regionkey"), check_sizes=True).filter("uncompressed > 0")
+    return got.agg(F.count("*").alias("frames"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_fused_agg(spark, sf_dir)
 

@@ -243,3 +243,28 @@ def read_frames(spark: SparkSession, path: str, framing: Framing | str) -> DataF
 def read_bgzf_records(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, rec_no, raw) of blocked gzip files."""
     return stitched_records(decoded(read_frames(spark, path, "bgzf").repartition(F.col("path"), F.col("frame_no"))))
+
+
+def fold_payloads(framed: DataFrame, init: Callable[[], object], process: Callable[[object, bytes], object], schema: str) -> DataFrame:
+    """One row per task: what `process` makes of a state and each payload in turn, from init().
+
+    The state returned must be a tuple of schema's columns; states of tasks are merged by an aggregate over the rows.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = init()
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                state = process(state, payload)
+        yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, state, strict=True)})
+
+    return framed.select("payload").mapInArrow(run, schema)
+
+
+def read_vcf_gz(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (pos, quality, dp, af) of block-compressed VCF files; toArrow() gives them as one table."""
+    from tessera.operators.columns import typed
+    from tessera.sources.spec import SPECS
+
+    return typed(read_bgzf_records(spark, path), SPECS["vcf_typed"]).select("pos", "quality", "dp", "af")
