@@ -180,14 +180,14 @@ def _ask(n: str, low: str, high: str, percent: int) -> str:
     return "least({}, {})".format(*[need.format(p=percent, q=100 + percent, n=n, m=f"({m})") for m in ends])
 
 
-def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (a, b): links between identities of sets, enough of them to connect all that are linked.
 
-    sets has a row (s, n, rep, prefix) for each distinct set.
+    sets has a row (s, n, rep) for each distinct set, prefixes a row (s, prefix).
     """
     token = F.explode("prefix").alias("token")
     alone = Window.partitionBy("token")
-    posts = sets.select(token, "s").withColumn("df", F.count("*").over(alone)).filter("df > 1")
+    posts = prefixes.select(token, "s").withColumn("df", F.count("*").over(alone)).filter("df > 1")
     posts = checkpointed(posts)
     step = float(np.log(SIZE_STEP))
     like = posts.groupBy("s").agg(F.min(F.struct("df", "token"))["token"].alias("key")).join(sets.select("s", "n"), "s")
@@ -208,7 +208,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     held = like.join(asked, "g").select("s", "g", "blocks", "within")
     wanted = opened.select("s").unionByName(held.select("s")).distinct().join(sets.select("s", "rep"), "s")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    whole = checkpointed(_whole_sets(texts, width))
+    whole = _whole_sets(texts, width)  # read once, so not kept
     asking = opened.filter(~F.col("own")).join(asked, "g").select("g", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "within", F.lit(True).alias("query"), "s")
     answer = held.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "within", F.lit(False).alias("query"), "s")
     blocks = asking.unionByName(answer).join(whole, "s")
@@ -219,8 +219,9 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, text_hash), one per document."""
     found = checkpointed(_prefixed(docs, width, percent, _common_tokens(docs, width)))
     full = found.filter("n > 0")
-    sets = checkpointed(full.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    tree = checkpointed(components(links(docs, sets, width, percent)))
+    sets = checkpointed(full.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    prefixes = full.groupBy("s").agg(F.first("prefix").alias("prefix"))  # read once, so not kept
+    tree = checkpointed(components(links(docs, sets, prefixes, width, percent)))
     roots = tree.join(sets.select(F.col("s").alias("node"), "rep"), "node")
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     joined = roots.join(least, "root").select(F.col("node").alias("s"), "least")
