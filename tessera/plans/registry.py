@@ -463,7 +463,7 @@ def _bgzf(spark, sf_dir) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            out = [framing.write_bgzf(x, 700) for x in b.column(1).to_pylist()]
+            out = [framing.write_bgzf(x, 3000) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
 
     return docs.mapInArrow(press, "doc_id bigint, content binary")
@@ -482,10 +482,10 @@ def bgzf_records(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("records"), F.sum(F.length("raw")).alias("bytes"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS stream, CAST(t.i AS BIGINT) AS rec_no, CASE t.i WHEN 0 THEN '\"a' || chr(10) || '\"\"b\",' || o_orderstatus ELSE o_orderpriority END AS raw FROM orders, (VALUES (0), (1)) t(i)")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS stream, CAST(t.i AS BIGINT) AS rec_no, CASE t.i WHEN 0 THEN '\"a' || chr(10) || '\"\"b\",' || s_name ELSE CAST(s_nationkey AS VARCHAR) END AS raw FROM supplier, (VALUES (0), (1)) t(i)")
 def stream_equals_batch(spark, sf_dir):
-    doc = F.concat(F.lit('"a\n""b",'), "o_orderstatus", F.lit("\r\n"), "o_orderpriority")
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("stream"), doc.alias("text"))
+    doc = F.concat(F.lit('"a\n""b",'), "s_name", F.lit("\r\n"), F.col("s_nationkey").cast("string"))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("stream"), doc.alias("text"))
     return streaming.replayed(streaming.sequenced(docs, 5), CSV)
 
 
