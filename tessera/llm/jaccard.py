@@ -38,6 +38,8 @@ from tessera.llm.components import components
 SAMPLE, SEEN, COMMON = 16, 4, 1 << 20
 #: Sets and tokens of a group, about, and queries of a block.
 GROUP_SETS, GROUP_TOKENS, BLOCK_QUERIES = 256, 200_000, 512
+#: Documents up to which those to verify are marked in a bit mask, and its bits; more are found by a join.
+MASK_DOCS, MASK_BITS = 1_000_000, 1 << 22
 #: Ratio between the sizes of a group's sets, about.
 SIZE_STEP = 1.05
 
@@ -115,14 +117,32 @@ def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, s bigint, prefix array<bigint>")
 
 
-def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Rows (s, tokens): whole sets of the documents in wanted (rep), and of a few others whose ids hash alike.
+
+    Up to MASK_DOCS documents are marked in a mask of MASK_BITS bits, and the others' texts are dropped where
+    they are read; more documents are joined. Either way all wanted sets come out.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MASK_BITS)).cast("int")
+    ids = checkpointed(wanted.select("rep").distinct())
+    if ids.count() <= MASK_DOCS:
+        mask = np.zeros(MASK_BITS, bool)
+        mask[ids.select(place("rep").alias("p")).toArrow()["p"].to_numpy()] = True
+        texts = docs.select(place("doc_id"), "text")
+    else:
+        mask = np.ones(MASK_BITS, bool)
+        texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select(place("doc_id"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for _, tokens, offsets in _sets(batch.column(0), width):
+            kept = batch.filter(pa.array(marked[batch.column(0).to_numpy()]))
+            for _, tokens, offsets in _sets(kept.column(1), width):
                 raw = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_identities(tokens, offsets)), pa.array(raw, pa.binary())], ["s", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "s bigint, tokens binary")
+    return texts.mapInArrow(run, "s bigint, tokens binary")
 
 
 def _linked(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -207,8 +227,7 @@ def links(docs: DataFrame, sets: DataFrame, prefixes: DataFrame, width: int, per
     asked = opened.groupBy("g").agg(blocks.alias("blocks"), F.max("own").alias("within"))
     held = like.join(asked, "g").select("s", "g", "blocks", "within")
     wanted = opened.select("s").unionByName(held.select("s")).distinct().join(sets.select("s", "rep"), "s")
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    whole = _whole_sets(texts, width)  # read once, so not kept
+    whole = _whole_sets(docs, wanted, width)  # read once, so not kept
     asking = opened.filter(~F.col("own")).join(asked, "g").select("g", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), "within", F.lit(True).alias("query"), "s")
     answer = held.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "within", F.lit(False).alias("query"), "s")
     blocks = asking.unionByName(answer).join(whole, "s")

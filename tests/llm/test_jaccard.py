@@ -45,11 +45,12 @@ def corpus(rng, bases, copies, length):
     return docs
 
 
-@pytest.mark.parametrize("width,percent,copies,sizes", [(4, 85, 6, (256, 512)), (5, 80, 40, (4, 3)), (4, 50, 10, (8, 2))])
-def test_against_brute_force(make, monkeypatch, width, percent, copies, sizes):
+@pytest.mark.parametrize("width,percent,copies,sizes,marked", [(4, 85, 6, (256, 512), 10**6), (5, 80, 40, (4, 3), 0), (4, 50, 10, (8, 2), 10**6)])
+def test_against_brute_force(make, monkeypatch, width, percent, copies, sizes, marked):
     monkeypatch.setattr(jaccard, "GROUP_SETS", sizes[0])
     monkeypatch.setattr(jaccard, "BLOCK_QUERIES", sizes[1])
     monkeypatch.setattr(jaccard, "SEEN", 2)
+    monkeypatch.setattr(jaccard, "MASK_DOCS", marked)
     rng = random.Random(percent)
     texts = corpus(rng, 14, copies, 120) + ["", None, " ", "one", "One", "ONE two", "one two three", "one two three"]
     docs = [(rng.randrange(10**9), t) for t in texts]
