@@ -7,8 +7,8 @@ a text that differs between pages becomes a slot. Alignment is associative enoug
 partition first and between partitions afterwards, so every page takes part and no host meets in one task.
 
 The wrapper says where a host's main text is: of the parts that are not menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments (by tag, class or id), the smallest container with nearly
-all the text of slots. It also says which texts inside are the template's own: the same on many
+sidebars, notices, adverts, forms or reader comments (by tag, class or id), the smallest container with all texts
+that vary or that only some pages have; an article is not descended into. It also says which texts inside are the template's own: the same on many
 pages whose other texts differ. Each page's blocks in that container are the result.
 
 Nulls: a null html has empty text; a null url belongs to the host "". Rows that repeat come out each. Pages
@@ -47,8 +47,6 @@ EXCLUDED_WORDS = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Share of the slots' text that a container must hold to be descended into.
-MOST = 0.9
 #: Pages that must agree on a text before it counts as the template's.
 AGREE = 8
 #: Nesting beyond which parts are kept at one level, and hosts that a task holds at once.
@@ -126,8 +124,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
 
 
 def _node(key: str) -> dict:
-    """k: key, t: the text if all pages agree, else absent; n: pages; c: characters; x: excluded; r: repeated; o: optional."""
-    return {"k": key, "n": 0, "c": 0, "x": False, "r": False, "o": False, "s": False, "d": []}
+    """k: key, t: the text if all pages agree, else absent; n: pages; m: pages with text of its own; c: characters; x: excluded; r: repeated; o: optional."""
+    return {"k": key, "n": 0, "m": 0, "c": 0, "x": False, "r": False, "o": False, "s": False, "d": []}
 
 
 def page_tree(page: str) -> dict:
@@ -153,6 +151,7 @@ def page_tree(page: str) -> dict:
         elif at.get("t") != text:
             at.pop("t", None)
             at["s"] = True
+        at["m"] = 1
         at["c"] += len(text)
     return root
 
@@ -160,7 +159,7 @@ def page_tree(page: str) -> dict:
 def align(a: dict, b: dict) -> dict:
     """The wrapper that both match: children pair in order, those without a partner are optional."""
     out = _node(a["k"])
-    out["n"], out["c"] = a["n"] + b["n"], a["c"] + b["c"]
+    out["n"], out["m"], out["c"] = a["n"] + b["n"], a["m"] + b["m"], a["c"] + b["c"]
     for f in ("x", "r", "o"):
         out[f] = a[f] or b[f]
     out["s"] = a["s"] or b["s"] or ("t" in a and "t" in b and a["t"] != b["t"])
@@ -191,7 +190,7 @@ def align(a: dict, b: dict) -> dict:
     for x in out["d"]:
         if folded and folded[-1]["k"] == x["k"]:
             one = align(folded[-1], x) | {"r": True}
-            one["n"] = max(folded[-1]["n"], x["n"])
+            one["n"], one["m"] = max(folded[-1]["n"], x["n"]), max(folded[-1]["m"], x["m"])
             folded[-1] = one
         else:
             folded.append(x)
@@ -199,22 +198,22 @@ def align(a: dict, b: dict) -> dict:
     return out
 
 
-def _mass(node: dict) -> int:
-    """Characters of the texts that are not excluded and vary, or that few pages have."""
-    own = 0 if node["x"] or ("t" in node and node["n"] >= AGREE) else node["c"]
-    return own + sum(map(_mass, node["d"]))
+def _content(node: dict, pages: int) -> bool:
+    """Whether the node itself has texts that are not excluded and vary, or that not all pages have."""
+    return node["c"] > 0 and not node["x"] and not ("t" in node and node["m"] == pages >= AGREE)
+
+
+def _holds(node: dict, pages: int) -> bool:
+    return _content(node, pages) or any(_holds(x, pages) for x in node["d"])
 
 
 def rules(wrapper: dict) -> dict:
     """{"root": path of the main container, "own": texts of the template inside it}."""
-    at, path = wrapper, []
-    while True:
-        total = _mass(at)
-        if at["k"].split(".")[0] in ("article", "main"):
-            break
-        into = [x for x in at["d"] if x["k"].split(".")[0] in CONTAINERS and not x["x"]]
-        into = [x for x in into if total and _mass(x) >= MOST * total]
-        if not into or at["c"] > (1 - MOST) * total and at["k"]:
+    at, path, pages = wrapper, [], wrapper["n"]
+    while at["k"].split(".")[0] not in ("article", "main") and not _content(at, pages):
+        into = [x for x in at["d"] if _holds(x, pages)]
+        # what lies beside would be lost
+        if len(into) != 1 or into[0]["k"].split(".")[0] not in CONTAINERS:
             break
         # a repeated text container is a list of blocks, not the place of the text
         if into[0]["r"] and not into[0]["d"]:
@@ -229,7 +228,7 @@ def rules(wrapper: dict) -> dict:
         for x in node["d"]:
             constants(x)
 
-    if _mass(at):
+    if _holds(at, pages):
         constants(at)
     return {"root": path, "own": sorted(own)}
 

@@ -37,3 +37,26 @@ def test_alignment_finds_optional_and_repeated_parts():
     article = whole["d"][0]["d"][0]
     assert [(x["k"], x["o"]) for x in article["d"]] == [("h1", False), ("p", True), ("ul", True)]
     assert article["d"][1]["r"] and article["d"][0]["s"] and article["d"][2]["d"][0]["t"] == "q"
+
+
+def ruled(given):
+    """The main text of each page of one host."""
+    whole = html.page_tree(given[0])
+    for page in given[1:]:
+        whole = html.align(whole, html.page_tree(page))
+    rule = html.rules(whole)
+    return [html.main_text(page, rule) for page in given]
+
+
+def test_small_parts_beside_the_main_one_stay():
+    long = "long text {k} " * 60
+    post = "<div class=top>Site</div><div class=post><h1>Title {k}</h1><div class=lead>Lead {k}</div><div class=entry><p>" + long + "</p></div>{more}</div><footer>f {k}</footer>"
+    given = [PAGE.format(k=k, body=post.format(k=k, more=f"<div class=more><p>section {k}</p></div>" if k == 5 else "")) for k in range(20)]
+    want = [f"Title {k}\nLead {k}\n{(long.format(k=k)).strip()}" + ("\nsection 5" if k == 5 else "") for k in range(20)]
+    assert ruled(given) == want
+    two = "<nav>menu {k}</nav><article class=lead><p>Lead {k}</p></article><article class=body><p>" + long + "</p></article><aside>s {k}</aside>"
+    assert ruled([PAGE.format(k=k, body=two.format(k=k)) for k in range(20)]) == [f"Lead {k}\n{long.format(k=k).strip()}" for k in range(20)]
+    # alike on the few pages that have it
+    rare = "<div class=a><p>text {k}</p></div>{more}"
+    given = [PAGE.format(k=k, body=rare.format(k=k, more="<div class=b><p>the same section</p></div>" if k < 10 else "")) for k in range(20)]
+    assert ruled(given) == [f"text {k}" + ("\nthe same section" if k < 10 else "") for k in range(20)]
