@@ -192,12 +192,16 @@ def _verify(percent: int):
     return run
 
 
-def _ask(n: str, low: str, high: str, percent: int) -> str:
-    """SQL: the least overlap of prefixes with which a set of size n links with one of a size in low..high."""
-    need = "ceil({p} * ({n} + {m}) / {q}) - greatest(ceil({p} * {n} / 100), ceil({p} * {m} / 100)) + 1"
-    # it grows with the other's size up to n and falls beyond, so the ends decide
-    ends = [f"greatest({low}, ceil({percent} * {n} / 100))", f"least({high}, floor(100 * {n} / {percent}))"]
-    return "least({}, {})".format(*[need.format(p=percent, q=100 + percent, n=n, m=f"({m})") for m in ends])
+def _opens(overlap: str, n: str, low: str, high: str, percent: int) -> str:
+    """SQL: whether a set of size n, with that overlap of prefixes, may link with one of some size in low..high."""
+    p, q = percent, 100 + percent
+    need = lambda m: f"(ceil({p} * ({n} + {m}) / {q}) - greatest(ceil({p} * {n} / 100), ceil({p} * {m} / 100)) + 1)"
+    least, most = f"greatest({low}, ceil({p} * {n} / 100))", f"least({high}, floor(100 * {n} / {p}))"
+    # the need grows with the other's size m up to n; beyond n it is floor(p * (100 * n - p * m) / (100 * q)) + 1, which
+    # falls, or one more. So an overlap short of both ends is compared with all sizes, if it reaches that floor
+    ends = f"{overlap} >= least({need(f'({least})')}, {need(f'({most})')})"
+    floor = f"{overlap} > floor({p} * (100 * {n} - {p} * {most}) / {100 * q})"
+    return f"({ends} or ({floor} and exists(sequence(cast({least} as bigint), cast({most} as bigint)), m -> {overlap} >= {need('m')})))"
 
 
 def links(docs: DataFrame, sets: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -221,7 +225,7 @@ def links(docs: DataFrame, sets: DataFrame, prefixes: DataFrame, width: int, per
     matrix = matrix.join(spans, "g").select("token", F.col("g").alias("other"), "low", "high", "members")
     fits = F.expr(f"(g < other or (g = other and members > 1)) and 100 * high >= {percent} * n and {percent} * low <= 100 * n")
     overlap = posts.join(matrix, "token").filter(fits).groupBy("s", "n", "g", "other").agg(F.count("*").alias("overlap"), F.first("low").alias("low"), F.first("high").alias("high"))
-    opened = checkpointed(overlap.filter(F.expr(f"overlap >= {_ask('n', 'low', 'high', percent)}")).select("s", F.col("other").alias("g"), (F.col("g") == F.col("other")).alias("own")))
+    opened = checkpointed(overlap.filter(F.expr(_opens("overlap", "n", "low", "high", percent))).select("s", F.col("other").alias("g"), (F.col("g") == F.col("other")).alias("own")))
     # a group's own members come to it once, also if they ask
     blocks = F.greatest(F.ceil(F.count_if(~F.col("own")) / BLOCK_QUERIES), F.lit(1)).cast("int")
     asked = opened.groupBy("g").agg(blocks.alias("blocks"), F.max("own").alias("within"))

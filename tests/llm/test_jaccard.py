@@ -70,3 +70,35 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 203: 203, 204: 203, 205: 203}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_at_the_threshold_in_groups_of_mixed_sizes(make, monkeypatch):
+    """41 words against 46, 40 of them shared but one in the prefixes; 45 and 47 in the group would ask for two."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "SEEN", 2)
+    texts = []
+    for r in range(10):
+        own = lambda name, n: [f"{name}{r}x{i}" for i in range(n)]  # noqa: B023, E731
+        s, z = own("s", 40), own("z", 39)
+        texts += [s + own("q", 1), s + own("b", 6), s[:1] + z[:38] + own("c", 6), s[:1] + z + own("d", 7)]
+        texts += [s[1:] + z + own(f"fill{k}", 60) for k in range(4)]  # makes all but the first shared word common
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = jaccard.jaccard_classes(make(*docs), 1, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain(docs, 1, 85)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_a_group_is_opened_if_one_of_its_sizes_can_link(spark, percent):
+    ceil = lambda x, y: -(-x // y)
+    rows = []
+    for n in (*range(1, 60, 2), 200, 201, 333):
+        first, last = ceil(percent * n, 100), 100 * n // percent
+        for low in range(max(first - 1, 1), last + 1, 1 + n // 20):
+            for high in {low, low + 1, low + 2, low + n // 20, last + 1}:
+                sizes = range(max(low, first), min(high, last) + 1)
+                if sizes:
+                    needs = [ceil(percent * (n + m), 100 + percent) - max(first, ceil(percent * m, 100)) + 1 for m in sizes]
+                    rows += [(o, n, low, high, o >= min(needs)) for o in (min(needs) - 1, min(needs))]
+    given = spark.createDataFrame(rows, "overlap bigint, n bigint, low bigint, high bigint, want boolean")
+    wrong = given.filter(F.col("want") != F.expr(jaccard._opens("overlap", "n", "low", "high", percent)))
+    assert wrong.count() == 0
