@@ -36,3 +36,14 @@ def test_nulls_repeats_and_nothing(make):
     got = sharding.shard(make(None, "", (7, "é"), (7, "é"), (None, "x"))).collect()
     assert sorted(r["size"] for r in got) == [1, 1, 2, 3, 3]
     assert sharding.shard(make()).count() == 0
+
+
+def test_groups_stay_together_beside_a_hot_one(make):
+    texts = ["hot"] * 1000 + [f"pair {g}" for g in range(600) for _ in range(2)] + [f"ten {g}" for g in range(20) for _ in range(10)] + [f"single {i}" for i in range(600)]
+    got = sharding.shard(make(*texts)).collect()
+    spread = defaultdict(set)
+    for r in got:
+        spread[texts[r["doc_id"]]].add(r["shard"])
+    assert set(Counter(r["shard"] for r in got).values()) == {375}
+    assert len(spread.pop("hot")) == 3
+    assert [t for t, s in spread.items() if len(s) > 1] == []
