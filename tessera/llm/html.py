@@ -8,8 +8,9 @@ partition first and between partitions afterwards, so every page takes part and
 
 The wrapper says where a host's main text is: of the parts that are not menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments (by tag, class or id), the smallest container with all texts
-that vary or that only some pages have; an article is not descended into. It also says which texts inside are the template's own: the same on many
-pages whose other texts differ. Each page's blocks in that container are the result.
+that vary or that only some pages have; an article is not descended into. It also says which texts inside are the template's own: the same at the same
+place on all pages of the host, if at least AGREE of these differ from each other; none in an article or a main
+element. Each page's blocks in that container are the result.
 
 Nulls: a null html has empty text; a null url belongs to the host "". Rows that repeat come out each. Pages
 without the host's container fall back to all of their blocks that are not in excluded parts. Empty tables give no
@@ -18,6 +19,7 @@ rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -47,7 +49,7 @@ EXCLUDED_WORDS = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Pages that must agree on a text before it counts as the template's.
+#: Pages, different from each other, that must agree on a text before it counts as the template's.
 AGREE = 8
 #: Nesting beyond which parts are kept at one level, and hosts that a task holds at once.
 DEPTH, HOSTS = 60, 2000
@@ -129,10 +131,11 @@ def _node(key: str) -> dict:
 
 
 def page_tree(page: str) -> dict:
-    """A page as a wrapper of itself: equal neighbours are one repeated node."""
-    root = _node("")
+    """A page as a wrapper of itself: equal neighbours are one repeated node. Roots have h: AGREE digests of pages at most."""
+    root, found = _node(""), list(blocks(page))
     root["n"] = 1
-    for path, excluded, text in blocks(page):
+    root["h"] = [hashlib.blake2b("\n".join(t for _, _, t in found).encode("utf-8", "replace"), digest_size=6).hexdigest()]
+    for path, excluded, text in found:
         at, whole = root, True
         for i, key in enumerate(path):
             down = at["d"]
@@ -165,6 +168,8 @@ def align(a: dict, b: dict) -> dict:
     out["s"] = a["s"] or b["s"] or ("t" in a and "t" in b and a["t"] != b["t"])
     if not out["s"] and (t := a.get("t", b.get("t"))) is not None:
         out["t"] = t
+    if "h" in a:
+        out["h"] = sorted({*a["h"], *b["h"]})[:AGREE]
     xs, ys = a["d"], b["d"]
     if [x["k"] for x in xs] == [y["k"] for y in ys]:
         out["d"] = [align(x, y) for x, y in zip(xs, ys, strict=True)]
@@ -198,9 +203,14 @@ def align(a: dict, b: dict) -> dict:
     return out
 
 
+def _constant(node: dict, pages: int) -> bool:
+    """Whether all pages have the node's own text; pages is 0 where too few of them differ."""
+    return "t" in node and node["m"] == pages > 0
+
+
 def _content(node: dict, pages: int) -> bool:
     """Whether the node itself has texts that are not excluded and vary, or that not all pages have."""
-    return node["c"] > 0 and not node["x"] and not ("t" in node and node["m"] == pages >= AGREE)
+    return node["c"] > 0 and not node["x"] and not _constant(node, pages)
 
 
 def _holds(node: dict, pages: int) -> bool:
@@ -208,8 +218,9 @@ def _holds(node: dict, pages: int) -> bool:
 
 
 def rules(wrapper: dict) -> dict:
-    """{"root": path of the main container, "own": texts of the template inside it}."""
-    at, path, pages = wrapper, [], wrapper["n"]
+    """{"root": path of the main container, "own": [path, text] of the template's inside it}."""
+    at, path = wrapper, []
+    pages = wrapper["n"] if len(wrapper["h"]) >= AGREE else 0
     while at["k"].split(".")[0] not in ("article", "main") and not _content(at, pages):
         into = [x for x in at["d"] if _holds(x, pages)]
         # what lies beside would be lost
@@ -220,24 +231,26 @@ def rules(wrapper: dict) -> dict:
             break
         at = into[0]
         path.append(at["k"])
-    own: set[str] = set()
+    own: set[tuple[tuple[str, ...], str]] = set()
 
-    def constants(node):
-        if "t" in node and node["n"] >= AGREE and not node["r"] and not re.match(r"(p|h\d|blockquote|li)\b", node["k"]):
-            own.add(node["t"])
+    def constants(node, path):
+        if path and path[-1].split(".")[0] in ("article", "main"):
+            return
+        if _constant(node, pages) and not node["r"] and not re.match(r"(p|h\d|blockquote|li)\b", node["k"]):
+            own.add((path, node["t"]))
         for x in node["d"]:
-            constants(x)
+            constants(x, (*path, x["k"]))
 
     if _holds(at, pages):
-        constants(at)
+        constants(at, tuple(path))
     return {"root": path, "own": sorted(own)}
 
 
 def main_text(page: str | None, rule: dict | None) -> str:
     every = list(blocks(page or ""))
     if rule and rule["root"]:
-        root, own = tuple(rule["root"]), set(rule["own"])
-        inside = [t for path, x, t in every if not x and path[: len(root)] == root and t not in own]
+        root, own = tuple(rule["root"]), {(tuple(p), t) for p, t in rule["own"]}
+        inside = [t for path, x, t in every if not x and path[: len(root)] == root and (path, t) not in own]
         if inside:
             return "\n".join(inside)
     return "\n".join(t for _, x, t in every if not x)

@@ -60,3 +60,21 @@ def test_small_parts_beside_the_main_one_stay():
     rare = "<div class=a><p>text {k}</p></div>{more}"
     given = [PAGE.format(k=k, body=rare.format(k=k, more="<div class=b><p>the same section</p></div>" if k < 10 else "")) for k in range(20)]
     assert ruled(given) == [f"text {k}" + ("\nthe same section" if k < 10 else "") for k in range(20)]
+
+
+def test_texts_that_copies_share_are_not_the_templates():
+    body = "<div class=post><h1>Title {k}</h1><p>text {k}</p>{more}<div class=note>The same on every page</div></div>"
+    shared = "<pre>code</pre><table><tr><td>cell</td></tr></table><figure><figcaption>caption</figcaption></figure>"
+    given = [PAGE.format(k=k, body=body.format(k=k, more="<p>cell</p>")) for k in range(10)] + [PAGE.format(k=50, body=body.format(k=50, more=shared))] * 9
+    got = ruled(given)
+    assert got[:10] == [f"Title {k}\ntext {k}\ncell" for k in range(10)]
+    assert got[10:] == ["Title 50\ntext 50\ncode\ncell\ncaption"] * 9
+    # copies alone say nothing about a template, nor do constants within an article
+    copies = [PAGE.format(k=1, body=body.format(k=1, more=shared))] * 20 + [PAGE.format(k=2, body=body.format(k=2, more=shared))]
+    assert ruled(copies)[0] == "Title 1\ntext 1\ncode\ncell\ncaption\nThe same on every page"
+    article = "<article><h1>Title {k}</h1><div class=kind>essay</div><p>text {k}</p></article>"
+    assert ruled([PAGE.format(k=k, body=article.format(k=k)) for k in range(12)])[3] == "Title 3\nessay\ntext 3"
+    # the template's text is dropped in its place only
+    place = "<div class=post><div class=note>note</div><div class=text>{t}</div><p>text {k}</p></div>"
+    got = ruled([PAGE.format(k=k, body=place.format(k=k, t="note" if k == 4 else f"other {k}")) for k in range(12)])
+    assert got[4] == "note\ntext 4" and got[5] == "other 5\ntext 5"
