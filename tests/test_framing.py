@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import registry
 from tessera.sources import datasource, framing
 from tessera.sources.framing import BGZF, Framing, FramingError, SizeField, read_varint, scan, scan_bgzf, write_bgzf
 
@@ -76,3 +77,11 @@ def test_data_source(spark, tmp_path):
     assert [r["raw"] for r in got.collect()] == text.split("\n")[:-1]
     assert spark.read.text(str(path)).count() == 3000
     assert framing.read_bgzf_records(spark, str(path)).agg(F.count("*")).first()[0] == 3000
+
+
+def test_registered_documents_have_several_blocks(spark, tmp_path):
+    text = "\n".join(f"line {i} of a document" for i in range(70))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    files = registry._bgzf(spark, str(tmp_path))
+    assert 1400 < len(text) < 2100 and framing.frames(files, "bgzf", key="doc_id").count() >= 3
+    assert [(r["records"], r["bytes"]) for r in registry.bgzf_records(spark, str(tmp_path)).collect()] == [(70, len(text) - 69)]

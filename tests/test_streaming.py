@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.plans import registry
 from tessera.sources.spec import DIALECTS
 from tessera.streaming import records as streaming
 from tests import scalar
@@ -33,3 +34,10 @@ def test_stream_equals_batch(spark):
     chunks = streaming.sequenced(spark.createDataFrame(rows, "stream string, text string"), 3)
     got = {(r["stream"], r["rec_no"]): r["raw"] for r in streaming.replayed(chunks, DIALECTS["csv"]).collect()}
     assert got == {(s, k): v for s, t in rows for k, v in enumerate([t.split("\r\n")[0], t.split("\r\n")[1]])}
+
+
+def test_the_registered_replay_takes_all_orders(spark, tmp_path):
+    rows = [(i, "FOP"[i % 3], f"{i}-LOW") for i in range(20)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r["stream"], r["rec_no"]): r["raw"] for r in registry.stream_equals_batch(spark, str(tmp_path)).collect()}
+    assert got == {(str(k), n): raw for k, s, p in rows for n, raw in enumerate([f'"a\n""b",{s}', p])}
