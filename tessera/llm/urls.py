@@ -6,7 +6,7 @@ those intervals that hold its fetch day. A pattern is a domain, which covers its
 beginning of a path, in whole segments. Of the patterns that hold, the longest decides.
 
 A capture asks for few keys: its host, the host's parent domains, and the host with each beginning of its path up
-to PATH_PARTS segments. So the as-of join is an equality join on keys with a range condition. A list of at most
+to as many segments as the list's longest pattern has. So the as-of join is an equality join on keys with a range condition. A list of at most
 BROADCAST_ROWS intervals, counted first, is broadcast; a longer one is copied by salt, since one host may
 hold much of the captures.
 
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import BROADCAST_ROWS, SALTS, table
 
-#: Segments of a path that a pattern may have.
-PATH_PARTS = 2
 BLOCK, ALLOW, DROP = "block", "allow", "drop"
 #: A small dated list for the query: names that sell, in three zones, each with its history.
 NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -53,12 +51,12 @@ def host(url: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, r"\.\z", ""))
 
 
-def keys(url: Column) -> Column:
-    """What of a url a pattern may equal."""
+def keys(url: Column, parts: int) -> Column:
+    """What of a url a pattern of at most so many path segments may equal."""
     labels = F.split(host(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, r"\A(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*/([^?#]*)", 1)
-    segments = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, PATH_PARTS)
+    segments = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, parts)
     deep = F.flatten(
         F.transform(
             domains,
@@ -73,9 +71,10 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     made = ("host", "pattern", "action", "listed_on", "blocked")
     captures = captures.select(*[c for c in captures.columns if c not in made])
     lists = intervals(entries)
-    asked = captures.select("url", "fetched_on").distinct().withColumn("_key", F.explode(keys(F.col("url"))))
+    n, parts = lists.agg(F.count("*"), F.max(F.size(F.split("pattern", "/")) - 1)).first()
+    asked = captures.select("url", "fetched_on").distinct().withColumn("_key", F.explode(keys(F.col("url"), parts or 0)))
     holds = (F.col("fetched_on") >= F.col("valid_from")) & (F.col("fetched_on") < F.col("valid_until"))
-    if lists.count() <= BROADCAST_ROWS:
+    if n <= BROADCAST_ROWS:
         met = asked.join(F.broadcast(lists), (F.col("_key") == F.col("pattern")) & holds)
     else:
         salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -42,3 +42,12 @@ def test_the_longest_pattern_decides(spark):
 def test_empty_lists_and_tables(spark):
     assert not any(r["blocked"] for r in urls.judged(captures(spark), lists(spark, [])).collect())
     assert urls.judged(captures(spark).limit(0), lists(spark)).count() == 0
+
+
+def test_patterns_of_many_segments(spark, monkeypatch):
+    entries = [("site.org/a", "2024-01-01", "block"), ("site.org/a/b/c", "2024-01-01", "allow"), ("site.org/a/b/c/d/e", "2024-01-01", "block")]
+    want = {"http://site.org/a/b": True, "http://site.org/a/b/c": False, "http://m.site.org/a/b/c/d?x": False, "http://site.org/A/b/c/d/e/f": True, "http://site.org/a/b/c/d/ef": False, "http://site.org": False}
+    rows = spark.createDataFrame([(u, datetime.date(2024, 2, 1)) for u in want], "url string, fetched_on date")
+    for limit in (urls.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", limit)
+        assert {r["url"]: r["blocked"] for r in urls.judged(rows, lists(spark, entries)).collect()} == want
