@@ -185,8 +185,7 @@ def csv_hash_comments(spark, sf_dir):
 
 @query("SELECT count(*) AS records, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM (SELECT unnest(string_split(text, chr(10))) AS line, text FROM (SELECT rtrim(text, chr(10)) || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE '' END AS text FROM documents WHERE text <> '' AND text NOT LIKE '%' || chr(10) AND text NOT LIKE '%' || chr(13) || '%'))")
 def lines_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter((F.col("text") != "") & ~F.endswith("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")))
-    rows = records.records(docs, "text", DIALECTS["lines"])
+    rows = records.records(table(spark, sf_dir, "documents"), "text", DIALECTS["lines"])
     return rows.agg(F.count("*").alias("records"), F.sum(F.octet_length("raw")).alias("bytes"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cells
 from tessera.operators import columns, nested, records, stats
+from tessera.plans import registry
 from tessera.sources.spec import DIALECTS, SPECS, Column, with_columns
 from tests import scalar
 
@@ -153,3 +154,14 @@ def test_nesting_matches_a_plain_reading(spark, seed):
         if not error:
             assert pairs.get(k, {}) == want, repr(text)
         assert words[k] == scalar.scalars(text, dialect)
+
+
+def test_registered_lines_take_whole_texts(spark, tmp_path):
+    given = ["a\r\nb\n", "", None, "x\r", "\n", "last", "a\rb", "\r\n\r\n", "é\n\nz"]
+    spark.createDataFrame([(t,) for t in given], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = []
+    for text in given:
+        parts = (text or "").split("\n")
+        lines += [p.removesuffix("\r") for p in (parts if parts[-1] else parts[:-1])]
+    got = registry.lines_documents(spark, str(tmp_path)).first()
+    assert (got["records"], got["bytes"]) == (len(lines), sum(len(x.encode()) for x in lines))
