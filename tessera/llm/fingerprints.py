@@ -6,7 +6,9 @@ far longer than the other: likeness() estimates the Jaccard similarity, containm
 document's shingles that another holds.
 
 Shingles are SHINGLE words in order; a text with fewer words is one shingle. A text whose hashes all
-lie above the threshold keeps its least one, so only a text without words has an empty sketch.
+lie above the threshold keeps its least one, so only a text without words has an empty sketch. That one is no
+sample: it compares with others of its kind only. How much a longer text holds of such a text is undefined, so
+containment() is null there, their likeness() is 0, and merge() drops the hash beside hashes below the threshold.
 
 Nulls: a null text is empty. Two empty sketches are alike (1), an empty one and another are not (0). A
 null doc_id precedes the others. Where rows share a doc_id, the next document's text is the
@@ -67,13 +69,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(ratio)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of a's shingles that b has."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(_overlap(a, b) / F.size(a))
+def _low(a: Column, scale: int) -> Column:
+    return F.filter(a, lambda h: h < F.lit((1 << _BITS) // scale))
 
 
-def merge(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The share of a's shingles that b has; null where a has no sample of them and b does."""
+    unknown = (F.size(_low(a, scale)) == 0) & (F.size(_low(b, scale)) > 0)
+    return F.when(F.size(a) == 0, 1.0).when(unknown, F.lit(None).cast("double")).otherwise(_overlap(a, b) / F.size(a))
+
+
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of what both hold."""
+    both = F.array_sort(F.array_union(a, b))
+    return let(both, lambda x: F.when(F.size(_low(x, scale)) > 0, _low(x, scale)).otherwise(F.slice(x, 1, 1)))
 
 
 def to_text(sketched: Column) -> Column:

@@ -53,3 +53,19 @@ def test_one_document_ties_and_no_documents(spark, make, tmp_path):
     assert fp.op1_fingerprints(spark, str(tmp_path / "none")).count() == 0
     same = fp.op1_fingerprints(spark, str(tmp_path / "same")).collect()
     assert sorted((r["doc_id"] or 0) for r in same) == [0, 1, 1, 1, 2]
+
+
+def test_a_hash_that_is_no_sample_stays_out_of_comparisons(spark):
+    high = (1 << 63) // fp.SCALE
+    rows = spark.createDataFrame([([high + 5], [1, 2]), ([1, 2], [high + 5]), ([high + 5], [high + 5]), ([high + 7], [high + 5]), ([], [high + 5])], "a array<bigint>, b array<bigint>")
+    got = [tuple(r) for r in rows.select(fp.likeness(F.col("a"), F.col("b")), fp.containment(F.col("a"), F.col("b")), fp.merge(F.col("a"), F.col("b"))).collect()]
+    assert got == [(0.0, None, [1, 2]), (0.0, 0.0, [1, 2]), (1.0, 1.0, [high + 5]), (0.0, 0.0, [high + 5]), (0.0, 1.0, [high + 5])]
+
+
+def test_merged_sketches_of_short_texts_are_the_sketch_of_all_shingles(spark):
+    # one word is one shingle; in 40 of them some lie above the threshold and some below
+    rows = spark.createDataFrame([(f"w{i}", f"v{i}") for i in range(40)], "x string, y string")
+    first = rows.select(fp.sketch(F.col("x")).alias("a"), fp.sketch(F.col("y")).alias("b")).withColumn("m", fp.merge(F.col("a"), F.col("b"))).collect()
+    for r in first:
+        every = sorted({*r["a"], *r["b"]})
+        assert r["m"] == ([h for h in every if h < (1 << 63) // fp.SCALE] or every[:1])
