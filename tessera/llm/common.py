@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a lookup table up to which it may be broadcast; counted before every use.
 BROADCAST_ROWS = 20_000
 #: Copies of a larger lookup table's rows, against keys that hold much of the other side.
 SALTS = 16
+#: A key with more than this share of all rows, and at least so many, is joined apart; at most 1 / HOT_SHARE have it.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 200
+#: Bits of a mask that says which rows are worth a join, and the bytes of a bitmap of which it is made.
+MASK_BITS, _BITMAP = 1 << 24, 4096
 #: Bits of monotonically_increasing_id() that number the rows of one partition.
 _ROW_BITS = 33
 
@@ -82,19 +88,68 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return placed.withColumn(name, row + F.col("_before")).drop("_at", "_part", "_before")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text hash are in kept (doc_id, text_hash), with all their columns.
+def hot_keys(counts: DataFrame, key: str, rows: str) -> list:
+    """Values of key with at least HOT_SHARE of all rows, of a table of one row per value; 1 / HOT_SHARE at most."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    return [r[0] for r in counts.filter(F.col(rows) >= least).select(key).distinct().collect()]
 
-    Of rows that repeat in both, one stays.
+
+def join_spread(df: DataFrame, lookup: DataFrame, on: str | list[str], hot: list) -> DataFrame:
+    """df joined with a table of one row per value of `on`; rows of hot values of the first column stay where they are.
+
+    hot is what hot_keys() gives, so its rows of the table are few and are broadcast.
+    """
+    on = [on] if isinstance(on, str) else on
+    if not hot:
+        return df.join(lookup, on)
+    is_hot = F.col(on[0]).isin(hot)
+    return df.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), on).unionByName(df.filter(~is_hot).join(lookup.filter(~is_hot), on))
+
+
+def mask_place(*cols: str | Column) -> Column:
+    """Which of MASK_BITS bits stands for these values."""
+    return F.pmod(F.xxhash64(*cols), F.lit(MASK_BITS))
+
+
+def _bitmaps(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows (bucket, bits) of at most MASK_BITS bits in all: the places of the rows of df."""
+    place = mask_place(*cols) + 1
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(place))
+    return df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(bits.alias("bits"))
+
+
+def bit_mask(df: DataFrame, *cols: str) -> np.ndarray:
+    """The places of the rows of df as packed bits, the lowest first; MASK_BITS / 8 bytes at any number of rows."""
+    out = np.zeros(MASK_BITS // 8, np.uint8)
+    for r in _bitmaps(df, *cols).collect():
+        at = (r["bucket"] - 1) * _BITMAP
+        out[at : at + _BITMAP] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns, by verdicts (doc_id, text_hash, kept), one for each row.
+
+    Of rows that repeat a doc_id and a text and may stay, the one with the least hash does. Rows whose bit in a mask of
+    what is dropped or repeated is not set stay without a join, so the texts that stay are not dealt out.
     """
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    pairs = verdicts.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("_stays"), F.min("kept").alias("_all"), F.count("*").alias("_n"))
+    dropped = checkpointed(pairs.filter("not _all or _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_stays"))
+    bitmaps = F.broadcast(checkpointed(_bitmaps(dropped, "_id", "_hash")))
+    order = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
     # the row travels as one column, so its names can't clash
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"), order.alias("_order"))
+    place = mask_place("_doc_id", "_text_hash") + 1
+    met = marked.join(bitmaps, F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marks = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 1
     same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    out = marked.join(kept, same, "left_semi")
-    if marked.groupBy("_doc_id", "_text_hash").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["_doc_id", "_text_hash"])
-    return out.select("_row.*")
+    judged = met.filter(marks).drop("bucket", "bits").join(dropped, same, "left")
+    sure = met.filter(~marks).select("_row").unionByName(judged.filter("_stays is null").select("_row"))
+    again = judged.filter("_stays").groupBy("_doc_id", "_text_hash").agg(F.min_by("_row", "_order").alias("_row"))
+    return sure.unionByName(again.select("_row")).select("_row.*")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, hot_keys, join_spread
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least of u and its neighbours v; a hot u is aggregated before the join."""
+def _with_least(pairs: DataFrame, hot: list) -> DataFrame:
+    """pairs (u, v) with m, the least of u and its neighbours v; a hot u is aggregated first, and its rows stay in their tasks."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    return join_spread(pairs, least, "u", hot)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large.filter("u > v"))
+        hot = hot_keys(both.groupBy("u").count(), "u", "count")
+        large = _with_least(both, hot).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large.filter("u > v"), hot)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = checkpointed(small.filter("u <> v").distinct())
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

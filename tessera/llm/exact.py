@@ -119,7 +119,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    return keep_rows(docs, deduplicate(docs).filter("kept"))
+    return keep_rows(docs, deduplicate(docs).select("doc_id", "text_hash", "kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
