@@ -7,8 +7,8 @@ Equal sets (by 128 bits) are one from the start. Tokens have one global order: t
 documents come last. The order only decides how much is pruned, never what is found. A set's prefix is its first
 n - ceil(percent * n / 100) + 1 + EXTRA tokens.
 
-1. Sets are partitioned into groups of like ones, by the most common token of the prefix, or by the least token
-   that is in no list. A group is cut into chunks of bounded size. A chunk's own pairs are verified first, on whole
+1. Sets are partitioned into groups of like ones, by the least token among those about as common as the prefix's
+   most common one, so that most copies of one text have the same. A group is cut into chunks of bounded size. A chunk's own pairs are verified first, on whole
    texts, from its most typical set outwards: what links with that one need not ask again. Chunks of one key are then
    connected through one set of each of their components. So a class of m near copies costs about m, not m * m.
 2. Each component is a group now; sets without links are bundled by chunk and size. The token-group matrix has a row
@@ -102,6 +102,15 @@ def _ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _keys(tokens: np.ndarray, seen: np.ndarray, doc: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Each document's least token among those about as common as its prefix's most common one, of count `most`."""
+    out = np.zeros(len(most), np.uint64)
+    like = np.flatnonzero((2 * seen >= most[doc]) & (seen <= 2 * most[doc]))
+    held, first = np.unique(doc[like], return_index=True)
+    out[held] = tokens[like[first]]
+    return out
+
+
 def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (doc_id, text_hash, n, s, s2, key, prefix, hot): the set's size, identity, key, and prefix without and with hot tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -117,15 +126,12 @@ def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
                 if len(token):
                     spot = np.minimum(np.searchsorted(token, tokens), len(token) - 1)
                     seen = np.where(token[spot] == tokens, count[spot], 0)
-                order = np.lexsort((tokens, seen, doc))
+                plain, order = (tokens, seen, doc), np.lexsort((tokens, seen, doc))
                 length = np.where(n > 0, np.minimum(n - _ceil_share(n, percent) + 1 + EXTRA, n), 0)
                 place = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
                 kept = place < np.repeat(length, n)
                 tokens, seen, doc = tokens[order], seen[order], doc[order]
-                some = n > 0
-                key = np.zeros(rows, np.uint64)
-                first, last = offsets[:-1][some], offsets[:-1][some] + length[some] - 1
-                key[some] = np.where(seen[last] > 0, tokens[last], tokens[first])
+                key = _keys(*plain, np.where(n > 0, seen[np.maximum(offsets[:-1] + length - 1, 0)], 0) if len(seen) else n)
                 hot = kept & (seen >= HOT_SEEN)
                 rare = kept & ~hot
                 each = lambda which: _lists(tokens[which], np.bincount(doc[which], minlength=rows))  # noqa: B023, E731
