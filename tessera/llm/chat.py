@@ -105,10 +105,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds turns, an array of {role, text, loss, at} parsed from formatted and spans, unescaped.
+    """Adds turns, an array of {role, text, loss} parsed from formatted and spans, unescaped.
 
-    A turn is under the loss mask where its parsed text fills a span that says so. Texts are
-    matched with spans in order, so the work grows with the conversation's length only.
+    A turn is under the loss mask where its parsed text fills a span that says so, in length and offset: a span has
+    to start where the one before it ends and this turn's head is over. So a wrong offset anywhere takes the rest out of
+    the mask, and the work grows with the conversation's length only.
     """
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>")))
     raw = F.transform(
@@ -118,12 +119,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
             F.regexp_replace(F.regexp_replace(p, r"(?s)\A.*?<\|im_sep\|>", ""), r"<\|im_end\|>\z", "").alias("text"),
         ),
     )
-    turn = lambda p, s: F.struct(
-        unescape(p["role"]).alias("role"),
-        unescape(p["text"]).alias("text"),
-        F.coalesce(s["loss"] & (F.length(p["text"]) == s["length"]), F.lit(False)).alias("loss"),
-    )
-    return formatted.withColumn("turns", F.zip_with(raw, "spans", turn))
+    plain = F.lit(len(START) + len(SEP))
+
+    def turn(p, i):
+        s, before = F.get("spans", i), F.get("spans", i - 1)
+        head = plain + F.length(p["role"])
+        start = F.when(i == 0, head).otherwise(before["start"] + before["length"] + len(END) + head)
+        fills = (F.length(p["text"]) == s["length"]) & (start == s["start"])
+        return F.struct(unescape(p["role"]).alias("role"), unescape(p["text"]).alias("text"), F.coalesce(s["loss"] & fills, F.lit(False)).alias("loss"))
+
+    return formatted.withColumn("turns", F.transform(raw, turn))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_parts_become_ordered_placeholders(spark):
 def test_no_conversations(spark, tmp_path):
     spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r["conv_id"] for r in chat.op3_chat_format(spark, str(tmp_path)).collect()] == [-7]
+
+
+def test_a_wrong_offset_is_not_read_as_loss(spark):
+    rows = [(1, k, role, [("text", f"t{k}", None, None)]) for k, role in enumerate(("user", "assistant", "user", "assistant"))]
+    made = chat.format_conversations(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PART}"))
+    loss = lambda df: [t["loss"] for t in chat.read_back(df).first()["turns"]]
+    assert loss(made) == [False, True, False, True]
+    shifted = made.withColumn("spans", F.transform("spans", lambda s, i: s.withField("start", s["start"] + F.when(i == 1, 1).otherwise(0))))
+    assert loss(shifted) == [False, False, False, True]
