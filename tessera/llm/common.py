@@ -92,19 +92,21 @@ def hot_keys(counts: DataFrame, key: str, rows: str) -> list:
     """Values of key with at least HOT_SHARE of all rows, of a table of one row per value; 1 / HOT_SHARE at most."""
     total = counts.agg(F.sum(rows)).first()[0] or 0
     least = max(HOT_ROWS, int(total * HOT_SHARE))
-    return [r[0] for r in counts.filter(F.col(rows) >= least).select(key).distinct().collect()]
+    found = [r[0] for r in counts.filter(F.col(rows) >= least).select(key).distinct().collect()]
+    return [bytes(x) if isinstance(x, bytearray) else x for x in found]
 
 
-def join_spread(df: DataFrame, lookup: DataFrame, on: str | list[str], hot: list) -> DataFrame:
+def join_spread(df: DataFrame, lookup: DataFrame, on: str | list[str], hot: list, how: str = "inner") -> DataFrame:
     """df joined with a table of one row per value of `on`; rows of hot values of the first column stay where they are.
 
     hot is what hot_keys() gives, so its rows of the table are few and are broadcast.
     """
     on = [on] if isinstance(on, str) else on
     if not hot:
-        return df.join(lookup, on)
-    is_hot = F.col(on[0]).isin(hot)
-    return df.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), on).unionByName(df.filter(~is_hot).join(lookup.filter(~is_hot), on))
+        return df.join(lookup, on, how)
+    is_hot = F.coalesce(F.col(on[0]).isin(hot), F.lit(False))
+    few = df.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), on, how)
+    return few.unionByName(df.filter(~is_hot).join(lookup.filter(~is_hot), on, how))
 
 
 def mask_place(*cols: str | Column) -> Column:

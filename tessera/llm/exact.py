@@ -7,7 +7,7 @@ the same identity only if all blocks are equal: no hash decides, so there are no
 
 Skew: blocks that many documents share are found by counting block hashes. Those with over HOT_SHARE of all
 blocks are few by construction; their distinct contents, which partial aggregates collapse before the shuffle,
-are named apart and broadcast. Pairs of names are named on distinct pairs and joined back, a join whose
+are named apart and broadcast; a group of equal texts with such a share is joined the same way. Pairs of names are named on distinct pairs and joined back, a join whose
 large partitions Spark can split.
 
 Nulls: a null text is empty; empty texts are equal. A null doc_id sorts first. Rows that repeat are
@@ -19,14 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, keep_rows, partitions, table
+from tessera.llm.common import HOT_ROWS, HOT_SHARE, checkpointed, hot_keys, join_spread, keep_rows, partitions, table
 
 #: Code points of a block.
 BLOCK = 4096
-#: A block with more than this share of all blocks is named apart; at most 1 / HOT_SHARE can have it.
-HOT_SHARE = 1 / 1000
-#: Fewest rows of a block that is named apart.
-HOT_ROWS = 200
 #: Name bits of the rank in a bucket.
 _RANK_BITS = 40
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -110,10 +106,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # of rows that repeat the best one the first stays; they are numbered before the join, which may split a hot group
     again = Window.partitionBy("doc_id", "_blocks", "_name", "_chars").orderBy("text_hash")
     found = checkpointed(identities(texts).drop("_key").withColumn("_again", F.row_number().over(again)))
-    best = F.max(F.struct(F.col("_chars"), -F.col("doc_id"), F.col("doc_id").alias("id")))
-    groups = found.groupBy("_blocks", "_name").agg(best.alias("_best"), F.count("*").alias("group_size"))
-    out = found.join(groups, ["_blocks", "_name"])
-    is_best = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == F.col("_best._chars"))
+    best = F.min(F.struct((-F.col("_chars")).alias("less"), F.col("doc_id").alias("id")))
+    groups = checkpointed(found.groupBy("_name", "_blocks").agg(best.alias("_best"), F.count("*").alias("group_size")))
+    out = join_spread(found, groups, ["_name", "_blocks"], hot_keys(groups, "_name", "group_size"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == -F.col("_best.less"))
     return out.select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", (is_best & (F.col("_again") == 1)).alias("kept"), "text_sha256", "text_hash")
 
 

@@ -42,3 +42,9 @@ def test_repeated_rows_and_null_ids(make):
 
 def test_no_documents(make):
     assert exact.deduplicate(make()).count() == 0 and exact.keep_one(make()).count() == 0
+
+
+def test_the_least_id_and_null_ids_win_ties(make):
+    docs = make((-(1 << 63), "a b"), (5, "ab "), (None, "x y"), (2, "xy "), (7, "z"), (7, "z"))
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact.deduplicate(docs).collect()}
+    assert got == {(-(1 << 63), -(1 << 63), True), (5, -(1 << 63), False), (None, None, True), (2, None, False), (7, 7, True), (7, 7, False)}
