@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, ranked, table, uniform
+from tessera.llm.common import checkpointed, hot_keys, join_spread, ranked, table, uniform
 
 SHARDS = 8
 ROUNDS = 4
@@ -143,8 +143,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     text = F.coalesce("text", F.lit(""))
     nodes = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_link"))
     nodes = nodes.withColumn("_key", F.xxhash64("doc_id", "_link"))
-    links = nodes.groupBy("_link").agg(F.count("*").alias("_n")).filter("_n > 1")
-    nodes = checkpointed(nodes.join(links, "_link", "left").withColumn("_linked", F.col("_n").isNotNull()))
+    links = checkpointed(nodes.groupBy("_link").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    nodes = checkpointed(join_spread(nodes, links, "_link", hot_keys(links, "_link", "_n"), "left").withColumn("_linked", F.col("_n").isNotNull()))
     total = nodes.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     nodes = nodes.withColumn("_big", F.coalesce(F.col("_n") * BIG * shards > total, F.lit(False))).drop("_n")
