@@ -3,8 +3,9 @@
 The rates that stay nearest to 1 in relative entropy and meet token constraints have the form
 exp(sum of the document's constraints' multipliers), where the multipliers minimise the convex dual
 sum(size * exp(multipliers)) - sum(multiplier * target). newton_dual() finds them by Newton steps whose
-gradients and Hessians are Spark aggregates; with one constraint column the dual separates by value and each
-value's steps run in its own row. The rates are then rounded into whole copies.
+gradients and Hessians are Spark aggregates, also for the one column of sources of mix(). Beyond MAX_CONSTRAINTS sources,
+which would have to be held by the driver, the same dual, which separates by source, is solved with each source's steps in
+its own row of a table. The rates are then rounded into whole copies.
 
 Rounding is by a hash of the document, so reruns agree, then corrected: what a source has too much or too
 little is taken from or given to documents that may be rounded the other way, first a hashed share of them,
@@ -93,7 +94,7 @@ def newton_dual(docs: DataFrame, columns: list[str], targets: dict[str, dict], s
     for c in columns:
         for v in targets[c]:
             index[c, v] = len(index)
-    if len(index) > MAX_CONSTRAINTS:
+    if len(index) > MAX_CONSTRAINTS and len(columns) > 1:
         raise ValueError(f"{len(index)} constraints over several columns; at most {MAX_CONSTRAINTS} can be solved jointly")
     spark = docs.sparkSession
     cells = docs.groupBy(*columns).agg(F.sum(size).cast("double").alias("_size"))
@@ -110,14 +111,22 @@ def newton_dual(docs: DataFrame, columns: list[str], targets: dict[str, dict], s
         tilt = F.exp(F.aggregate("_ks", F.lit(0.0), lambda a, k: a + at[k]))
         pairs = cells.select((F.col("_size") * tilt).alias("_w"), "_ks").select("_w", "_ks", F.explode("_ks").alias("_i"))
         pairs = pairs.select("_w", "_i", F.explode("_ks").alias("_j")).groupBy("_i", "_j").agg(F.sum("_w").alias("_w"))
-        hessian = np.zeros((len(x), len(x)))
-        for r in pairs.collect():
-            hessian[r["_i"], r["_j"]] = r["_w"]
-        gradient = hessian.diagonal() - goal
-        if np.abs(gradient).max(initial=0) <= tol * max(goal.max(initial=0), 1):
+        found = pairs.collect()
+        now = np.zeros(len(x))
+        for r in found:
+            if r["_i"] == r["_j"]:
+                now[r["_i"]] = r["_w"]
+        gradient = np.where(now > 0, now - goal, 0)
+        if (np.abs(gradient) <= tol * np.maximum(goal, 1)).all():
             break
-        # constraints of two columns share their sum, so the Hessian is singular along one direction
-        step = np.linalg.lstsq(hessian + 1e-12 * np.trace(hessian) * np.eye(len(x)), gradient, rcond=None)[0]
+        if len(columns) == 1:  # no document meets two constraints, so the Hessian is diagonal
+            step = gradient / np.where(now > 0, now, 1)
+        else:
+            hessian = np.zeros((len(x), len(x)))
+            for r in found:
+                hessian[r["_i"], r["_j"]] = r["_w"]
+            # constraints of two columns share their sum, so the Hessian is singular along one direction
+            step = np.linalg.lstsq(hessian + 1e-12 * np.trace(hessian) * np.eye(len(x)), gradient, rcond=None)[0]
         x = x - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
     return {c: {v: float(x[index[c, v]]) for v in targets[c]} for c in columns}
 
@@ -159,8 +168,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> tuple[DataFram
     key = _key(F.col("doc_id"), F.col("source"), F.col("size"))
     base = checkpointed(base.withColumn("_key", key).withColumn("_tokens", F.col("_rows") * F.col("size")))
     totals = base.groupBy("source").agg(F.sum("_tokens").alias("total"))
-    plan = source_targets(totals, weights, cap)
-    rate = F.least(F.exp(newton_separable(F.col("total"), F.col("target"))), F.lit(float(cap)))
+    plan = checkpointed(source_targets(totals, weights, cap))
+    if plan.count() <= MAX_CONSTRAINTS:
+        goals = {r["source"]: r["target"] for r in plan.filter("total > 0 and target > 0").select("source", "target").collect()}
+        solved = newton_dual(base, ["source"], {"source": goals}, "_tokens")["source"]
+        solved = docs.sparkSession.createDataFrame(list(solved.items()), "_s string, _x double")
+        plan = plan.join(F.broadcast(solved), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    else:
+        plan = plan.withColumn("_x", newton_separable(F.col("total"), F.col("target")))
+    rate = F.least(F.exp(F.coalesce("_x", F.lit(0.0))), F.lit(float(cap)))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     move = "array<struct<seed int, p double, dir int>>"
     single = "array<struct<key bigint, dir int>>"

@@ -83,3 +83,11 @@ def test_joint_constraints_meet_both_margins(spark):
         for v, goal in goals[c].items():
             got = sum(r[2] * math.exp(x["source"][r[0]] + x["lang"][r[1]]) for r in rows if r[i] == v)
             assert math.isclose(got, goal, rel_tol=1e-4)
+
+
+def test_both_ways_of_solving_give_the_same_mix(make, monkeypatch):
+    docs = make(*documents(300), (9003, "", "zero"))
+    run = lambda: sorted(((r["doc_id"], r["taken"], round(r["rate"], 7)) for r in mixing.mix(docs).collect()), key=str)
+    joint = run()
+    monkeypatch.setattr(mixing, "MAX_CONSTRAINTS", 0)
+    assert joint == run()
