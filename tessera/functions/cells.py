@@ -29,21 +29,71 @@ def latin1(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def utf8_bytes(text: Column) -> Column:
-    """A text as a string of one character for each of its UTF-8 bytes."""
-    return latin1(F.encode(text, "UTF-8"))
+def from_latin1(text: Column) -> Column:
+    """The text whose bytes are the characters of text, as latin1() gives them; bytes that are no UTF-8 stay as they are."""
+    return F.encode(text, "ISO-8859-1").cast("string")
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def split_live(raw: Column, dialect: Dialect, at: tuple[str, ...]) -> Column:
-    """raw split at every live occurrence of the characters `at`; quotes and escapes stay."""
-    plain = F.split(raw, char_class(at)) if at else F.array(raw)
+def _hidden(text: Column, dialect: Dialect) -> Column:
+    """Escaped pairs as marks: they are taken from the left, so what follows an odd run is escaped."""
+    e = dialect.escape_char
+    return F.replace(F.replace(text, F.lit(e * 2), F.lit(PAIR)), F.lit(e + dialect.quote), F.lit(QUOTED))
+
+
+def _shown(text: Column, dialect: Dialect) -> Column:
+    e = dialect.escape_char
+    return F.replace(F.replace(text, F.lit(QUOTED), F.lit(e + dialect.quote)), F.lit(PAIR), F.lit(e * 2))
+
+
+#: How texts that hold the marks themselves are written while they are split.
+_CODES = (("\u0004", "\u0004d"), (MARK, "\u0004a"), (PAIR, "\u0004b"), (QUOTED, "\u0004c"))
+_HAS_MARKS = "[\u0001-\u0004]"
+
+
+def _coded(text: Column) -> Column:
+    for c, code in _CODES:
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return text
+
+
+def _restored(text: Column) -> Column:
+    for c, code in reversed(_CODES):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    return text
+
+
+def comment_pattern(dialect: Dialect) -> str:
+    """A comment line up to its newline, as a regular expression."""
+    return rf"(?:\A|(?<=\n)){char_class(dialect.comment)}[^\n]*+"
+
+
+def without_comments(doc: Column, dialect: Dialect) -> Column:
+    """doc without its comment lines. Quoted parts are met as a whole, from the left, so that either makes the other inert."""
+    q = char_class(dialect.quote)
+    pattern = rf"({q}[^{dialect.quote}]*+{q}?)|{comment_pattern(dialect)}(?:\n|\z)"
+    strip = lambda text: F.regexp_replace(text, pattern, "$1")
+    whole = strip(doc)
+    if dialect.backslash:
+        through = lambda text: _shown(strip(_hidden(text, dialect)), dialect)
+        whole = F.when(doc.rlike(_HAS_MARKS), _restored(through(_coded(doc)))).otherwise(through(doc))
+    # most documents have none
+    has = F.startswith(doc, F.lit(dialect.comment)) | F.contains(doc, F.lit("\n" + dialect.comment))
+    return F.when(has, whole).otherwise(doc)
+
+
+def split_live(raw: Column, dialect: Dialect, at: tuple[str, ...], limit: int = -1) -> Column:
+    """raw split at every live occurrence of the characters `at`; quotes and escapes stay.
+
+    Texts without quotes are cut into `limit` parts at most, if that is positive, of which the last holds the rest.
+    """
+    plain = F.split(raw, char_class(at), limit) if at else F.array(raw)
     if not dialect.quote or not at:
         return plain
-    quote, escape = dialect.quote, dialect.escape_char
+    quote = dialect.quote
 
     def parity(text: Column) -> Column:
         """text with a MARK for every live separator: segments between quotes are outside, inside, outside..."""
@@ -53,33 +103,19 @@ def split_live(raw: Column, dialect: Dialect, at: tuple[str, ...]) -> Column:
     def marked(text: Column) -> Column:
         if not dialect.backslash:
             return parity(text)
-        # pairs are taken from the left, so what follows an odd run is escaped
-        hidden = F.replace(F.replace(text, F.lit(escape * 2), F.lit(PAIR)), F.lit(escape + quote), F.lit(QUOTED))
-        shown = lambda x: F.replace(F.replace(x, F.lit(QUOTED), F.lit(escape + quote)), F.lit(PAIR), F.lit(escape * 2))
-        return F.transform(parity(hidden), shown)
+        return F.transform(parity(_hidden(text, dialect)), lambda x: _shown(x, dialect))
 
     def guarded(text: Column) -> Column:
-        """Texts that hold the marks themselves: those are written with U+0004 while the text is split."""
-        codes = [("\u0004", "\u0004d"), (MARK, "\u0004a"), (PAIR, "\u0004b"), (QUOTED, "\u0004c")]
-        for c, code in codes:
-            text = F.replace(text, F.lit(c), F.lit(code))
-        parts = marked(text)
-
-        def restored(x: Column) -> Column:
-            for c, code in reversed(codes):
-                x = F.replace(x, F.lit(code), F.lit(c))
-            return x
-
-        return F.transform(parts, restored)
+        return F.transform(marked(_coded(text)), _restored)
 
     # most records have no quote at all
-    marks = raw.rlike("[\u0001-\u0004]")
+    marks = raw.rlike(_HAS_MARKS)
     return F.when(~F.contains(raw, F.lit(quote)), plain).when(marks, guarded(raw)).otherwise(marked(raw))
 
 
-def split_fields(raw: Column, dialect: Dialect) -> Column:
-    """A record's raw fields."""
-    return split_live(raw, dialect, dialect.separators)
+def split_fields(raw: Column, dialect: Dialect, limit: int = -1) -> Column:
+    """A record's raw fields; see split_live() for limit."""
+    return split_live(raw, dialect, dialect.separators, limit)
 
 
 def live_quotes(text: Column, dialect: Dialect) -> Column:
@@ -140,9 +176,9 @@ def numeric(x: Column, dialect: Dialect, cast) -> Column:
 
 def info_value(x: Column, key: str) -> Column:
     """The value of key in `a=1;b=2`: of the last entry with that key, null where that has no value."""
-    entries = F.filter(F.split(x, ";"), lambda e: (e == key) | F.startswith(e, F.lit(key + "=")))
-    last = F.get(F.reverse(entries), F.lit(0))
-    return F.when(F.contains(last, F.lit("=")), F.substring(last, F.lit(len(key) + 2), F.length(last)))
+    # what precedes is matched greedily, so the last entry is met
+    last = F.regexp_extract(x, rf"(?s)\A(?:.*;)?\Q{key}\E(=[^;]*)?(?:;.*)?\z", 1)
+    return F.when(F.startswith(last, F.lit("=")), F.substring(last, F.lit(2), F.length(last)))
 
 
 def logfmt_value(x: Column, dialect: Dialect) -> Column:
@@ -174,6 +210,15 @@ def float_bits(x: Column) -> Column:
     return F.when(x.isNotNull(), F.pmod(bits, F.lit(1 << 32)))
 
 
+def little_endian_sum(bits: Column, width: int) -> Column:
+    """The sum of the bytes of a number's lowest width bytes; null counts 0. bits is a bigint, whose sign bit is a bit."""
+    parts = [F.shiftrightunsigned(bits, 8 * k).bitwiseAND(F.lit(255)) for k in range(width)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out + x
+    return F.coalesce(out, F.lit(0).cast("bigint"))
+
+
 def byte_sum(content: Column) -> Column:
     """The sum of the values of a binary's bytes.
 

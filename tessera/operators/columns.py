@@ -30,16 +30,21 @@ def project(fields: SparkColumn, column: Column, dialect: Dialect) -> SparkColum
     return out.alias(column.label)
 
 
+def _needed(spec: Spec) -> int:
+    """Fields up to the last that a column reads."""
+    return max((c.index for c in spec.columns), default=0) + 1
+
+
 def typed(rows: DataFrame, spec: Spec, keep: list[str] | None = None, raw: str = "raw") -> DataFrame:
     """Rows of one record each, as typed columns; comment records are left out."""
     if spec.dialect.comment:
         rows = rows.filter(~F.startswith(raw, F.lit(spec.dialect.comment)))
-    split = with_fields(rows.withColumn(raw, trim_cr(F.col(raw))), spec.dialect, raw)
+    split = with_fields(rows.withColumn(raw, trim_cr(F.col(raw))), spec.dialect, raw, _needed(spec))
     return split.select(*(keep or []), *[project(F.col("fields"), c, spec.dialect) for c in spec.columns])
 
 
 def parse_columns(docs: DataFrame, doc: str, spec: Spec, keep: list[str] | None = None) -> DataFrame:
     """Typed columns of every record of documents."""
     rows = records(docs, doc, spec.dialect, keep)
-    split = with_fields(rows, spec.dialect)
+    split = with_fields(rows, spec.dialect, needed=_needed(spec))
     return split.select(*(keep or []), *[project(F.col("fields"), c, spec.dialect) for c in spec.columns])

@@ -10,20 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.cells import char_class, split_live, trim_ws
+from tessera.functions.cells import char_class, comment_pattern, split_live, trim_ws
 from tessera.sources.spec import Dialect
 
 _MASK = "."
 
 
 def masked(doc: Column, dialect: Dialect) -> Column:
-    """doc with everything inside quotes, and escaped pairs, replaced by as many dots; positions stay."""
-    if not dialect.quote:
-        return doc
-    text = doc
-    if dialect.backslash:
+    """doc with everything inside quotes, comments, and escaped pairs replaced by as many dots; positions stay."""
+    text, quote, comment = doc, dialect.quote, dialect.comment
+    if dialect.backslash and quote:
         e = dialect.escape_char
-        text = F.replace(F.replace(text, F.lit(e * 2), F.lit(_MASK * 2)), F.lit(e + dialect.quote), F.lit(_MASK * 2))
+        text = F.replace(F.replace(text, F.lit(e * 2), F.lit(_MASK * 2)), F.lit(e + quote), F.lit(_MASK * 2))
+    if comment:
+        # parts in order: quoted, comment, other; what is met first makes the other inert
+        q = char_class(quote) if quote else None
+        inner = "".join(c for c in (quote, comment) if c)
+        either = [rf"{q}[^{quote}]*+{q}?"] * bool(quote) + [comment_pattern(dialect), rf"[^\n{inner}]++", r"[\s\S]"]
+        parts = F.regexp_extract_all(text, F.lit("(" + "|".join(either) + ")"), F.lit(1))
+        dots = lambda x: F.repeat(F.lit(_MASK), F.length(x))
+        begins = lambda x: F.startswith(x, F.lit(comment)) | (F.startswith(x, F.lit(quote)) if quote else F.lit(False))
+        return F.array_join(F.transform(parts, lambda x: F.when(begins(x), dots(x)).otherwise(x)), "")
+    if not quote:
+        return text
     hidden = lambda s, i: F.when(i % 2 == 1, F.repeat(F.lit(_MASK), F.length(s))).otherwise(s)
     return F.array_join(F.transform(F.split(text, char_class(dialect.quote)), hidden), dialect.quote)
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.cells import byte_sum, clean, double_bits, float_bits, logfmt_value, split_live, wrapped
+from tessera.functions.cells import byte_sum, clean, double_bits, float_bits, little_endian_sum, logfmt_value, split_live, wrapped
 from tessera.sources.spec import Dialect
 
+#: Ordinals of REF and ALT in a VCF record.
+VCF_ALLELES = (3, 4)
 
 
 def _sum(x: Column) -> Column:
@@ -55,15 +57,17 @@ def geo_text_stats(rows: DataFrame) -> DataFrame:
 
 
 def vcf_stats(fields: DataFrame, typed: list[Column]) -> DataFrame:
-    """Over rows with `fields`: the records, the bytes of the first field, parsed positions, and a checksum.
+    """Over rows with `fields`: the records, the bytes of REF and ALT, parsed positions, and a checksum.
 
-    typed: pos and quality of a row.
+    The checksum sums bytes: those of REF and ALT, the 8 of each position and the 4 of each quality as a float, both
+    little-endian, where they parse. typed: pos and quality of a row.
     """
     pos, quality = typed
-    first = F.get("fields", F.lit(0))
-    wide = "decimal(20,0)"
-    check = F.coalesce(pos, F.lit(0)).cast(wide) + F.coalesce(float_bits(quality), F.lit(0)).cast(wide) + byte_sum(F.encode(first, "UTF-8")).cast(wide)
-    rows = fields.select(F.octet_length(first).alias("bytes"), pos.alias("pos"), check.alias("check"))
+    alleles = [F.coalesce(F.get("fields", F.lit(k)), F.lit("")) for k in VCF_ALLELES]
+    text = F.concat(*alleles)
+    values = fields.select(text.alias("text"), pos.alias("pos"), float_bits(quality).alias("bits"))
+    check = byte_sum(F.encode("text", "UTF-8")) + little_endian_sum(F.col("pos"), 8) + little_endian_sum(F.col("bits"), 4)
+    rows = values.select(F.octet_length("text").alias("bytes"), "pos", check.alias("check"))
     return rows.agg(F.count("*").alias("records"), _sum(F.col("bytes")).alias("primary_bytes"), F.count("pos").alias("pos_values"), _wrapping(F.col("check")).alias("checksum"))
 
 
@@ -159,7 +163,9 @@ def fastq_checked(docs: DataFrame, doc: str, key: str) -> DataFrame:
 
 
 def filtered_sum(rows: DataFrame, column: str, threshold: float) -> DataFrame:
-    """(count, sum) of a typed column over a threshold."""
-    return rows.filter(F.col(column) > threshold).agg(F.count("*").alias("count"), F.sum(column).alias("sum"))
-
+    """(count, sum) of a typed column over a threshold.
 
+    The condition is in the aggregate: a filter would be pushed below the columns and split each record again.
+    """
+    over = F.when(F.col(column) > threshold, F.col(column))
+    return rows.agg(F.count(over).alias("count"), F.sum(over).alias("sum"))

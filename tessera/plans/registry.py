@@ -183,7 +183,11 @@ def csv_hash_comments(spark, sf_dir):
     return columns.parse_columns(docs, "doc", SPECS["csv_hash"], ["o_orderkey"])
 
 
-@query("SELECT count(*) AS records, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM (SELECT unnest(string_split(text, chr(10))) AS line, text FROM (SELECT rtrim(text, chr(10)) || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE '' END AS text FROM documents WHERE text <> '' AND text NOT LIKE '%' || chr(10) AND text NOT LIKE '%' || chr(13) || '%'))")
+#: Lines of whole texts: what follows the last newline is one unless empty, and one carriage return at the end is none of it.
+_LINES_SQL = "SELECT count(*) AS records, CAST(sum(strlen(CASE WHEN line LIKE '%' || chr(13) THEN left(line, -1) ELSE line END)) AS BIGINT) AS bytes FROM (SELECT unnest(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, -1) ELSE text END, chr(10))) AS line FROM documents WHERE text <> '')"
+
+
+@query(_LINES_SQL)
 def lines_documents(spark, sf_dir):
     rows = records.records(table(spark, sf_dir, "documents"), "text", DIALECTS["lines"])
     return rows.agg(F.count("*").alias("records"), F.sum(F.octet_length("raw")).alias("bytes"))
@@ -386,7 +390,7 @@ def vcf_info(spark, sf_dir):
     return t.agg(F.count("*").alias("records"), F.count("dp").alias("present"), F.sum("dp").alias("sum_dp"), F.sum("pos").alias("sum_pos"))
 
 
-@query("SELECT count(*) AS records, CAST(4 * count(*) AS BIGINT) AS primary_bytes, count(*) AS pos_values FROM lineitem")
+@query("SELECT count(*) AS records, CAST(sum(1 + CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS primary_bytes, count(*) AS pos_values FROM lineitem")
 def vcf_stats(spark, sf_dir):
     rows = records.with_fields(_vcf(spark, sf_dir).filter(~F.startswith("raw", F.lit("#"))), DIALECTS["vcf"])
     f = F.col("fields")
@@ -394,7 +398,17 @@ def vcf_stats(spark, sf_dir):
     return got.select("records", "primary_bytes", "pos_values")
 
 
-@query()
+_VCF_QUALITY = "CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END"
+_BYTES_OF = "list_sum(list_transform(range({n}), lambda k: ({x} >> (8 * k)) & 255))"
+#: Quantities are whole numbers from 1 to 50, whose bits as a float follow from the power of two below them.
+_VCF_CHECKSUM = f"""WITH v AS (SELECT l_orderkey, l_returnflag || CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE l_linestatus END AS alleles, CAST({_VCF_QUALITY} AS BIGINT) AS q FROM lineitem),
+e AS (SELECT *, CAST(floor(log2(q)) AS BIGINT) AS e FROM v),
+b AS (SELECT *, ((e + 127) << 23) + ((q - (1 << e)) << (23 - e)) AS bits FROM e)
+SELECT count(*) AS records, CAST(sum(strlen(alleles)) AS BIGINT) AS primary_bytes, count(*) AS pos_values,
+CAST(sum(list_sum(list_transform(string_split(alleles, ''), lambda c: unicode(c))) + {_BYTES_OF.format(n=8, x='l_orderkey')} + coalesce({_BYTES_OF.format(n=4, x='bits')}, 0)) AS DECIMAL(20, 0)) AS checksum FROM b"""
+
+
+@query(_VCF_CHECKSUM)
 def vcf_checksum(spark, sf_dir):
     rows = records.with_fields(_vcf(spark, sf_dir).filter(~F.startswith("raw", F.lit("#"))), DIALECTS["vcf"])
     f = F.col("fields")
@@ -454,18 +468,22 @@ def frames_varint(spark, sf_dir):
     return got.select("r_regionkey", "frame_no", "start", "len", F.decode("payload", "UTF-8").alias("payload"))
 
 
-def _bgzf(spark, sf_dir) -> DataFrame:
-    """Each document's text as blocked gzip of small blocks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+def _pressed(files: DataFrame, key: str, block: int) -> DataFrame:
+    """files (key, content) with each content as blocked gzip of blocks of so many bytes."""
 
     def press(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = [framing.write_bgzf(x, 700) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+            out = [framing.write_bgzf(x, block) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [key, "content"])
+
+    return files.select(key, "content").mapInArrow(press, f"{key} {files.schema[key].dataType.simpleString()}, content binary")
+
 
-    return docs.mapInArrow(press, "doc_id bigint, content binary")
+def _bgzf(spark, sf_dir) -> DataFrame:
+    """Each document's text as blocked gzip of small blocks."""
+    return _pressed(table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), "doc_id", 700)
 
 
 @query("SELECT count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE text <> ''")
@@ -478,7 +496,27 @@ def bgzf_roundtrip(spark, sf_dir):
 def bgzf_records(spark, sf_dir):
     got = framing.decoded(framing.frames(_bgzf(spark, sf_dir), "bgzf", key="doc_id"))
     rows = framing.stitched_records(got, "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("records"), F.sum(F.length("raw")).alias("bytes"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("records"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+@query("SELECT s_suppkey, s_name || ' é€ ' || chr(128578) AS name, s_acctbal AS balance FROM supplier")
+def bgzf_columns(spark, sf_dir):
+    """Typed columns of blocked gzip whose blocks cut records and characters anywhere."""
+    line = F.concat(joined(",", "s_suppkey", F.concat("s_name", F.lit(" é€ \U0001f642")), "s_acctbal"), F.lit("\n"))
+    docs = table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line"))
+    files = docs.groupBy((F.col("s_suppkey") % 7).alias("part")).agg(F.encode(F.array_join(F.sort_array(F.collect_list("line")), ""), "UTF-8").alias("content"))
+    got = framing.stitched_records(framing.decoded(framing.frames(_pressed(files, "part", 37), "bgzf", key="part")), "part")
+    return columns.typed(got, with_columns("csv", Col(0, "i64", "s_suppkey"), Col(1, "string", "name"), Col(2, "f64", "balance")))
+
+
+@query("SELECT CAST(o_orderstatus || chr(10) || '#é ' || o_orderpriority AS VARCHAR) AS key, o_custkey AS amount FROM orders")
+def csv_hash_file(spark, sf_dir):
+    """Comments and quotes that span lines, from files cut into blocks."""
+    key = F.concat("o_orderstatus", F.lit("\n#é "), "o_orderpriority")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit('# é "stray\n'), quoted(key), F.lit(","), F.col("o_custkey").cast("string")).alias("value"))
+    folder = f"{streaming.shared_folder(spark, 'lines')}/csv_hash"
+    rows.write.option("lineSep", "\n").text(folder)
+    return columns.typed(records.file_records(spark, folder, CSV_HASH), Spec("csv_hash", CSV_HASH, SPECS["csv_hash"].columns))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS stream, CAST(t.i AS BIGINT) AS rec_no, CASE t.i WHEN 0 THEN '\"a' || chr(10) || '\"\"b\",' || o_orderstatus ELSE o_orderpriority END AS raw FROM orders, (VALUES (0), (1)) t(i)")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import from_latin1, latin1
+
 FRAME_COLUMNS = "frame_no bigint, start bigint, len bigint, payload_start bigint, payload_end bigint, uncompressed bigint"
 _WIDTHS = {1: "B", 2: "H", 4: "I", 8: "Q"}
 _MAX_VARINT = 10
@@ -218,21 +220,25 @@ def decoded(framed: DataFrame, decoder: str | Callable[[bytes], bytes] = "deflat
 def stitched_records(framed: DataFrame, key: str = "path", terminator: str = "\n") -> DataFrame:
     """Rows (key, rec_no, raw): whole records of decoded payloads, also where they straddle frames.
 
-    Every piece of a payload after its first terminator begins a record; a running sum numbers them. The terminator
-    is a raw byte here, whether quoted or not. What follows the last terminator is a record unless empty.
+    Every piece of a payload after its first terminator begins a record; a running sum of the frames' counts numbers
+    them. A piece between two terminators is a whole record and stays where it is; only what touches a frame's border
+    is put together. The terminator is a raw byte here, whether quoted or not. What follows the last terminator is a
+    record unless empty.
     """
-    text = F.decode("payload", "ISO-8859-1")
-    pieces = framed.select(key, "frame_no", F.posexplode(F.split(text, "\\" + terminator if terminator in ".|?*+()[]{}^$\\" else terminator)).alias("piece", "part"))
-    # numbers come from each frame's count of pieces, so no frame's text is sorted with another's
-    counts = framed.select(key, "frame_no", (F.size(F.split(text, terminator)) - 1).alias("n"))
+    # one character a byte, so that a character may straddle frames
+    pieces = F.split(latin1(F.col("payload")), rf"\Q{terminator}\E")
+    counts = framed.select(key, "frame_no", (F.size(pieces) - 1).alias("_count"))
     before = Window.partitionBy(key).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select(key, "frame_no", "first")
-    numbered = pieces.join(first, [key, "frame_no"]).withColumn("rec_no", F.col("first") + F.col("piece"))
-    whole = numbered.groupBy(key, "rec_no").agg(F.sort_array(F.collect_list(F.struct("frame_no", "part"))).alias("parts"))
-    raw = F.array_join(F.transform("parts", lambda p: p["part"]), "")
-    total = counts.groupBy(key).agg(F.sum("n").alias("last"))
-    out = whole.select(key, "rec_no", raw.alias("raw")).join(total, key)
-    return out.filter((F.col("rec_no") < F.col("last")) | (F.col("raw") != "")).drop("last")
+    # numbers alone are ordered, no frame's text with another's
+    counts = counts.withColumn("_first", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_last", F.sum("_count").over(Window.partitionBy(key)))
+    parts = framed.select(key, "frame_no", F.posexplode(pieces).alias("_piece", "_part"), (F.size(pieces) - 1).alias("_n"))
+    parts = parts.join(counts.drop("_count"), [key, "frame_no"]).withColumn("_rec", F.col("_first") + F.col("_piece"))
+    at_border = (F.col("_piece") == 0) | (F.col("_piece") == F.col("_n"))
+    whole = parts.filter(~at_border).select(key, F.col("_rec").alias("rec_no"), from_latin1(F.col("_part")).alias("raw"))
+    joined = parts.filter(at_border).groupBy(key, "_rec").agg(F.sort_array(F.collect_list(F.struct("frame_no", "_part"))).alias("_parts"), F.first("_last").alias("_last"))
+    raw = F.array_join(F.transform("_parts", lambda p: p["_part"]), "")
+    joined = joined.filter((F.col("_rec") < F.col("_last")) | (raw != "")).select(key, F.col("_rec").alias("rec_no"), from_latin1(raw).alias("raw"))
+    return whole.unionByName(joined)
 
 
 def read_frames(spark: SparkSession, path: str, framing: Framing | str) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,14 +81,19 @@ def sequenced(texts: DataFrame, size: int, stream: str = "stream", text: str = "
     return texts.select(F.col(stream).alias("stream"), F.posexplode(parts).alias("seq", "p")).select("stream", "seq", F.col("p.chunk").alias("chunk"), F.col("p.eof").alias("eof"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replayed(chunks: DataFrame, dialect: Dialect) -> DataFrame:
     """The records of a batch of chunks, run through the streaming operator until all input is taken.
 
     Chunks, state and records are kept in the session's shared checkpoint folder (a local one only where none is set).
     """
     spark = chunks.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     chunks.write.parquet(f"{folder}/chunks")
     source = spark.readStream.schema(chunks.schema).parquet(f"{folder}/chunks")
     out = stream_records(source, dialect).writeStream.format("parquet").option("path", f"{folder}/records")

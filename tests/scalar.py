@@ -77,3 +77,14 @@ def scalars(text, dialect):
     cuts = [-1, *structurals(text, dialect), len(text)]
     parts = [text[a + 1 : b].strip(" \t\r\n") for a, b in zip(cuts, cuts[1:])]
     return [p for p in parts if p]
+
+
+def raws(text, dialect):
+    """Raw records."""
+    out, begun = [], 0
+    for i in [*(i for i in structurals(text, dialect) if text[i] == "\n"), len(text)]:
+        line = text[begun:i]
+        if (i < len(text) or line) and not (dialect.comment and line.startswith(dialect.comment)):
+            out.append(line.removesuffix("\r"))
+        begun = i + 1
+    return out

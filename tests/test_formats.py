@@ -165,3 +165,67 @@ def test_registered_lines_take_whole_texts(spark, tmp_path):
         lines += [p.removesuffix("\r") for p in (parts if parts[-1] else parts[:-1])]
     got = registry.lines_documents(spark, str(tmp_path)).first()
     assert (got["records"], got["bytes"]) == (len(lines), sum(len(x.encode()) for x in lines))
+
+
+def files_in_blocks(spark, path, dialect, size=97):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        return [r["raw"] for r in records.file_records(spark, str(path), dialect).orderBy("rec_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_comments_and_quotes_in_blocks_read_as_one_document(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(['é,"', "#", '"', "\n", "\n#", "x\n", 'a"b', '#"\n']) for _ in range(2500))
+    (tmp_path / "one.txt").write_text(text, encoding="utf-8")
+    got = files_in_blocks(spark, tmp_path / "one.txt", DIALECTS["csv_hash"])
+    assert got == scalar.raws(text, DIALECTS["csv_hash"]) and len(got) > 50
+
+
+def test_lines_of_files_are_numbered_without_assembly(spark, tmp_path):
+    rng = random.Random(1)
+    for name in "ab":
+        (tmp_path / name).write_text("".join(rng.choice(["#c\n", "é\tx\n", "\n", "long line " * 9 + "\r\n"]) for _ in range(80)), encoding="utf-8")
+        text = (tmp_path / name).read_bytes().decode()
+        for dialect in ("vcf", "tsv"):
+            assert files_in_blocks(spark, tmp_path / name, DIALECTS[dialect]) == scalar.raws(text, DIALECTS[dialect])
+
+
+def test_long_documents_with_comments(spark):
+    doc = '# one "\n' + "".join(f'{i}\n#x"\n"a\n#{i}",2\n' for i in range(40_000))
+    got = spark.createDataFrame([(doc,)], "doc string").select(records.document_records(F.col("doc"), DIALECTS["csv_hash"]).alias("r")).first()["r"]
+    assert got == [x for i in range(40_000) for x in (str(i), f'"a\n#{i}",2')]
+
+
+@pytest.mark.parametrize("name", ["csv_hash", "vcf", "csv", "logfmt"])
+def test_structural_index_matches_a_plain_reading(spark, name):
+    dialect, given = DIALECTS[name], ['# x "y,\na,b\n', *texts(ALPHABETS[name], 200, name)]
+    docs = spark.createDataFrame(list(enumerate(given)), "k int, doc string")
+    got = {}
+    for r in nested.structural_index(docs, "doc", dialect, "k").orderBy("k", "tape_idx").collect():
+        got.setdefault(r["k"], []).append(r["pos"])
+    for k, text in enumerate(given):
+        assert got.get(k, []) == scalar.structurals(text, dialect), repr(text)
+
+
+def test_vcf_and_geo_checksums_match_plain_sums(spark):
+    import struct
+
+    rows = [("c\t5\ti\tAC\tGé\t2.5", 5, 2.5), ("c\t-1\ti\tA\t\tx", -1, None), ("c\tz\ti\tA\tT\t1e300", None, 1e300), ("c\t7", 7, None)]
+    given = records.with_fields(spark.createDataFrame([(r,) for r, _, _ in rows], "raw string"), DIALECTS["vcf"])
+    f = F.col("fields")
+    got = stats.vcf_stats(given, [cells.cast_i64(F.get(f, F.lit(1))), cells.cast_f64(F.get(f, F.lit(5)))]).first()
+    alleles = [b"".join(x.encode() for x in r.split("\t")[3:5]) for r, _, _ in rows]
+    single = lambda x: struct.pack("<f", x) if abs(x) < 3e38 else struct.pack("<f", math.inf)
+    want = sum(map(sum, alleles)) + sum(sum(struct.pack("<q", p)) for _, p, _ in rows if p is not None) + sum(sum(single(q)) for _, _, q in rows if q is not None)
+    assert (got["records"], got["primary_bytes"], got["pos_values"], int(got["checksum"])) == (4, sum(map(len, alleles)), 3, want)
+    places = [(1.5, -0.0), (None, 2.25), (-1e-300, math.inf)]
+    got = stats.geo_stats(spark.createDataFrame(places, "latitude double, longitude double")).first()
+    bits = lambda xs: sum(struct.unpack("<Q", struct.pack("<d", x))[0] for x in xs if x is not None) % (1 << 64)
+    assert (got["records"], got["latitude_values"], got["longitude_values"]) == (3, 2, 3)
+    assert (int(got["latitude_checksum"]), int(got["longitude_checksum"])) == (bits([a for a, _ in places]), bits([b for _, b in places]))

@@ -85,3 +85,22 @@ def test_registered_documents_have_several_blocks(spark, tmp_path):
     files = registry._bgzf(spark, str(tmp_path))
     assert 1400 < len(text) < 2100 and framing.frames(files, "bgzf", key="doc_id").count() >= 3
     assert [(r["records"], r["bytes"]) for r in registry.bgzf_records(spark, str(tmp_path)).collect()] == [(70, len(text) - 69)]
+
+
+@pytest.mark.parametrize("terminator", ["|", ".", "\n"])
+def test_any_terminator_and_any_bytes(spark, terminator):
+    parts = [b"x1", "é€🙂".encode(), b"z333", b"", b"\xff\xfe", b"last"]
+    content = terminator.encode().join(parts)
+    rows = [("k", n, bytearray(content[i : i + 5])) for n, i in enumerate(range(0, len(content), 5))]
+    got = framing.stitched_records(spark.createDataFrame(rows, "path string, frame_no bigint, payload binary"), terminator=terminator)
+    found = {r["rec_no"]: bytes(r["raw"]) for r in got.select("rec_no", F.col("raw").cast("binary").alias("raw")).collect()}
+    assert [found[k] for k in range(len(parts))] == parts and len(found) == len(parts)
+
+
+def test_block_compressed_vcf_keeps_its_bytes(spark, tmp_path):
+    text = "##h é\n" + "".join(f"c\t{i}\tid\té{i}\t€\t{i}.5\tP\tDP={i};AF=0.5\n" for i in range(200))
+    (tmp_path / "x.vcf.gz").write_bytes(write_bgzf(text.encode(), 41))
+    raw = framing.read_bgzf_records(spark, str(tmp_path / "x.vcf.gz")).orderBy("rec_no")
+    assert [r["raw"] for r in raw.collect()] == text.splitlines()
+    got = framing.read_vcf_gz(spark, str(tmp_path / "x.vcf.gz")).orderBy("pos").collect()
+    assert [(r["pos"], r["quality"], r["dp"], r["af"]) for r in got] == [(i, i + 0.5, i, 0.5) for i in range(200)]
