@@ -1,6 +1,7 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-A document's worth is linear in features of its text. The weights are learned from preference pairs, each a
+A document's worth is linear in features of its text: shares of character classes, repeats and lengths of words, and
+shares of hashed words and pairs of neighbouring words. The weights are learned from preference pairs, each a
 document labelled good and one labelled bad, by logistic loss on the difference of their features. The
 threshold is the quantile of the training scores at the share of bad documents among them; scores are
 mapped to 0..1 so that the threshold lies at THRESHOLD.
@@ -29,8 +30,12 @@ from tessera.llm.common import table, uniform
 
 #: Labelled rows that the weights are learned from, about.
 TRAIN_ROWS = 20_000
-#: Preference pairs for each document of the rarer class, and in all at most.
+#: Preference pairs for each document of the commoner class, and in all at most; like TRAIN_ROWS a bound of the training sample.
 PAIRS_EACH, PAIRS = 16, 100_000
+#: Pairs that are held at once.
+STEP_PAIRS = 8192
+#: Buckets of hashed words and word pairs, and the words by which short texts' shares are drawn to 0.
+HASHED, SHRINK = 256, 20
 RIDGE = 1e-3
 #: Where on the 0..1 scale the quantile threshold lies.
 THRESHOLD = 0.3
@@ -46,7 +51,10 @@ _CLASSES = {
     "stop": b".,;:",
     "line": b"\n",
 }
-FEATURES = (*_CLASSES, "marked_words", "again", "distinct", "word_length", "long_words", "length")
+_SURFACE = (*_CLASSES, "marked_words", "again", "distinct", "word_length", "long_words", "length")
+SURFACE = len(_SURFACE)
+FEATURES = (*_SURFACE, *(f"hash{k}" for k in range(HASHED)))
+_PAIR = np.uint64(0xD1342543DE82EF95)
 
 
 def _class_masks() -> np.ndarray:
@@ -89,6 +97,12 @@ def features(column: pa.Array) -> np.ndarray:
             length = (end - start).astype(float)
             out[:, 10] = _sums(length, doc, docs) / some
             out[:, 11] = _sums(length > 25, doc, docs) / some
+            # words and pairs of neighbours, hashed; short texts say little, so their shares are drawn to 0
+            pair = tb.mix(h[:-1] * _PAIR + h[1:])[doc[1:] == doc[:-1]]
+            grams, of = np.concatenate([h, pair]), np.concatenate([doc, doc[1:][doc[1:] == doc[:-1]]])
+            cell = of * HASHED + (grams >> np.uint64(40)).astype(np.int64) % HASHED
+            counts = np.bincount(cell, minlength=docs * HASHED).reshape(docs, HASHED)
+            out[:, SURFACE:] = counts / (n + SHRINK)[:, None]
         out[:, 12] = np.log1p(n)
         parts.append(out)
     return np.concatenate(parts)
@@ -127,6 +141,32 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.n
     return w
 
 
+def preferences(ups: np.ndarray, downs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (preferred, other) of a good and a bad document, PAIRS_EACH for each document of the commoner class."""
+    rng = np.random.default_rng(7)
+    n = min(PAIRS, PAIRS_EACH * max(len(ups), len(downs)))
+    return ups[rng.integers(0, len(ups), n)], downs[rng.integers(0, len(downs), n)]
+
+
+def ranking(z: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
+    """Weights of the least mean of log(1 + exp(-(z[a] - z[b]) @ w)) + ridge * |w|^2 / 2, pairs a few at a time."""
+    k = z.shape[1]
+    w = np.zeros(k)
+    for _ in range(steps):
+        gradient, hessian, margin = ridge * w, ridge * np.eye(k), z @ w
+        for i in range(0, len(a), STEP_PAIRS):
+            u, v = a[i : i + STEP_PAIRS], b[i : i + STEP_PAIRS]
+            x = z[u] - z[v]
+            p = 1 / (1 + np.exp(-(margin[u] - margin[v]).clip(-500, 500)))
+            gradient = gradient + x.T @ (p - 1) / len(a)
+            hessian += (x.T * (p * (1 - p))) @ x / len(a)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step / max(1.0, np.abs(step).max() / 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def fit(x: np.ndarray, good: np.ndarray) -> Model:
     """Learn from features and labels; the order of the rows does not matter to callers that sort them."""
     ups, downs = np.flatnonzero(good), np.flatnonzero(~good)
@@ -135,10 +175,7 @@ def fit(x: np.ndarray, good: np.ndarray) -> Model:
     center, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-12, scale, 1.0)
     z = ((x - center) / scale).clip(-8, 8)
-    rng = np.random.default_rng(7)
-    n = min(PAIRS, PAIRS_EACH * max(len(ups), len(downs)))
-    a, b = ups[rng.integers(0, len(ups), n)], downs[rng.integers(0, len(downs), n)]
-    weights = _newton(z[a] - z[b], np.ones(n), RIDGE)
+    weights = ranking(z, *preferences(ups, downs), RIDGE)
     s = z @ weights
     order, bad = np.sort(s), len(downs)
     cut = float((order[bad - 1] + order[bad]) / 2)
@@ -160,13 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text"))
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_good"), flat], ["doc_id", "_good", "x"])
 
-    found = texts.mapInArrow(measured, "doc_id bigint, _good boolean, x array<double>").toArrow()
+    found = texts.mapInArrow(measured, "doc_id bigint, _good boolean, x array<float>").toArrow()
     if not found.num_rows:
         return constant_model()
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(float)
     good = np.array(found["_good"].to_pylist(), bool)
     order = np.lexsort((*x.T, found["doc_id"].to_numpy()))
     return fit(x[order], good[order])

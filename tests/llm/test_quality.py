@@ -57,3 +57,32 @@ def test_words_and_shingles_of_bytes():
             values, at = tb.shingles(h, doc, last - first, 4)
             n += [(int((doc == i).sum()), int((at == i).sum())) for i in range(last - first)]
         assert n == [(0, 0), (0, 0), (1, 1), (5, 2), (2, 1), (3, 1)]
+
+
+def test_weights_minimise_the_pairwise_loss(monkeypatch):
+    monkeypatch.setattr(quality, "STEP_PAIRS", 7)
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(40, 5))
+    good = z[:, 0] - z[:, 1] + rng.normal(size=40) > 0
+    a, b = quality.preferences(np.flatnonzero(good), np.flatnonzero(~good))
+    assert good[a].all() and not good[b].any() and len(a) == quality.PAIRS_EACH * max(good.sum(), (~good).sum())
+
+    def loss(w):
+        return np.mean([np.log1p(np.exp(-(z[i] - z[j]) @ w)) for i, j in zip(a, b)]) + 0.01 * w @ w / 2
+
+    w = quality.ranking(z, a, b, 0.01)
+    least = loss(w)
+    for k in range(5):
+        for step in (1e-3, -1e-3, 0.1, -0.1):
+            assert loss(w + step * np.eye(5)[k]) > least
+
+
+def test_words_alone_can_tell(make, spark):
+    """The same letters, lengths and marks in either class; only the words differ."""
+    rng = random.Random(4)
+    words = ["lemon", "table", "ocean", "paper", "river"], ["melon", "bleat", "canoe", "prape", "virer"]
+    docs = [" ".join(rng.choice(words[k % 2]) for _ in range(30)) for k in range(400)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(400)], LABELS)
+    got = quality.scored(make(*docs), quality.train(make(*docs), labels)).select("doc_id", "score", quality.held_out(F.col("doc_id")).alias("h")).collect()
+    held = [r for r in got if r["h"]]
+    assert len(held) > 40 and all((r["score"] >= 0.3) == (r["doc_id"] % 2 == 0) for r in held)
