@@ -40,15 +40,15 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PairTable:
-    """Ranks of pairs of ids in an open-addressing hash table, looked up for whole arrays."""
+    """Ranks of pairs of ids, a << 32 | b, in an open-addressing hash table, looked up for whole arrays."""
 
-    def __init__(self, pairs: dict[tuple[int, int], int]):
+    def __init__(self, pairs: dict[int, int]):
         bits = max(int(len(pairs) * 3).bit_length(), 4)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.full(1 << bits, _NONE, np.int64)
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        values = np.array(list(pairs.values()), np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        values = np.fromiter(pairs.values(), np.int64, len(pairs))
         at, left, self.probes = self._home(keys), np.arange(len(keys)), 1
         while len(left):
             free = self.keys[at[left]] < 0
@@ -92,7 +92,7 @@ class Encoder:
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a, b] = rank
+                    pairs[a << 32 | b] = rank
         self.pairs, self.table = pairs, PairTable(pairs)
         self.cache: dict[str, bytes] = {}
 
@@ -101,7 +101,7 @@ class Encoder:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -112,10 +112,10 @@ class Encoder:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := self.pairs.get((rank, ids[k]))) is not None:
+                if (r := self.pairs.get(rank << 32 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[k]))
             h = before[i]
-            if h >= 0 and (r := self.pairs.get((ids[h], rank))) is not None:
+            if h >= 0 and (r := self.pairs.get(ids[h] << 32 | rank)) is not None:
                 heapq.heappush(heap, (r, h, ids[h], rank))
         return [x for x in ids if x >= 0]
 

@@ -48,7 +48,7 @@ HOT_SEEN = 32
 #: Tokens of a prefix beyond those that one shared token needs; each asks for one more shared token.
 EXTRA = 3
 #: Sets and tokens of a chunk or block, about, and queries of a block.
-GROUP_SETS, GROUP_TOKENS, BLOCK_QUERIES = 4096, 1_000_000, 4096
+GROUP_SETS, GROUP_TOKENS, BLOCK_QUERIES = 4096, 300_000, 4096
 #: Sets without links in one group.
 BUNDLE = 64
 NO_LINKS = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -152,9 +152,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     mask = docs.sparkSession.sparkContext.broadcast(bit_mask(wanted, "doc_id", "text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(mask.value, bitorder="little").astype(bool)
+        bits = mask.value
         for batch in batches:
-            kept = batch.filter(pa.array(marked[batch.column(2).to_numpy()]))
+            place = batch.column(2).to_numpy()
+            kept = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
             for part in tb.slices(kept, 3):
                 raw = [(x or "").encode() for x in part.column(3).to_pylist()]
                 sizes = pa.array([len(x) for x in raw], pa.int64())
@@ -174,10 +175,11 @@ class _Block:
     """Sets of a block's rows, with the sorted tokens of some of them, the members."""
 
     def __init__(self, block: pa.Table, width: int, members: np.ndarray):
-        raw = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(block["data"].to_pylist(), block["bytes"].to_pylist(), strict=True)]
         self.sets: list[np.ndarray] = []
-        for _, tokens, offsets in _sets(pa.array(raw, pa.large_binary()), width):
-            self.sets += [tokens[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for part in block.select(["data", "bytes"]).to_batches(max_chunksize=256):
+            raw = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            for _, tokens, offsets in _sets(pa.array(raw, pa.large_binary()), width):
+                self.sets += [tokens[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         self.members = members
         self.sizes = np.array([len(self.sets[i]) for i in members], np.int64)
         tokens = np.concatenate([self.sets[i] for i in members])

@@ -33,7 +33,7 @@ TRAIN_ROWS = 20_000
 #: Preference pairs for each document of the commoner class, and in all at most; like TRAIN_ROWS a bound of the training sample.
 PAIRS_EACH, PAIRS = 16, 100_000
 #: Pairs that are held at once.
-STEP_PAIRS = 8192
+STEP_PAIRS = 2048
 #: Buckets of hashed words and word pairs, and the words by which short texts' shares are drawn to 0.
 HASHED, SHRINK = 256, 20
 RIDGE = 1e-3
@@ -156,7 +156,7 @@ def ranking(z: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float, steps: in
         gradient, hessian, margin = ridge * w, ridge * np.eye(k), z @ w
         for i in range(0, len(a), STEP_PAIRS):
             u, v = a[i : i + STEP_PAIRS], b[i : i + STEP_PAIRS]
-            x = z[u] - z[v]
+            x = (z[u] - z[v]).astype(float)
             p = 1 / (1 + np.exp(-(margin[u] - margin[v]).clip(-500, 500)))
             gradient = gradient + x.T @ (p - 1) / len(a)
             hessian += (x.T * (p * (1 - p))) @ x / len(a)
@@ -172,9 +172,11 @@ def fit(x: np.ndarray, good: np.ndarray) -> Model:
     ups, downs = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(ups) or not len(downs):
         return constant_model()
-    center, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 1e-12, scale, 1.0)
-    z = ((x - center) / scale).clip(-8, 8)
+    center, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    z = x - center.astype(x.dtype)  # a copy of its own type, which is changed in place
+    z /= scale.astype(x.dtype)
+    z.clip(-8, 8, out=z)
     weights = ranking(z, *preferences(ups, downs), RIDGE)
     s = z @ weights
     order, bad = np.sort(s), len(downs)
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     found = texts.mapInArrow(measured, "doc_id bigint, _good boolean, x array<float>").toArrow()
     if not found.num_rows:
         return constant_model()
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(float)
+    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     good = np.array(found["_good"].to_pylist(), bool)
     order = np.lexsort((*x.T, found["doc_id"].to_numpy()))
     return fit(x[order], good[order])
