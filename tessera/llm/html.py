@@ -23,6 +23,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -159,6 +160,34 @@ def page_tree(page: str) -> dict:
     return root
 
 
+def _matches(xs: list[str], ys: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of keys that match, in order, and between them those of one side alone.
+
+    At a mismatch both sides are searched ahead for the nearest pair of equal keys; what is skipped has no
+    partner. The search tries no more places than it then skips, so the time is linear but for a logarithm.
+    """
+    places: dict[str, list[int]] = {}
+    for j, key in enumerate(ys):
+        places.setdefault(key, []).append(j)
+    i = j = 0
+    while i < len(xs) and j < len(ys):
+        least, skip = len(xs) + len(ys), (len(xs) - i, len(ys) - j)
+        for a in range(len(xs) - i):
+            if a >= least:
+                break
+            held = places.get(xs[i + a], ())
+            if (k := bisect_left(held, j)) < len(held) and a + held[k] - j < least:
+                least, skip = a + held[k] - j, (a, held[k] - j)
+        yield from ((i + a, None) for a in range(skip[0]))
+        yield from ((None, j + b) for b in range(skip[1]))
+        i, j = i + skip[0], j + skip[1]
+        if i < len(xs) and j < len(ys):
+            yield i, j
+            i, j = i + 1, j + 1
+    yield from ((a, None) for a in range(i, len(xs)))
+    yield from ((None, b) for b in range(j, len(ys)))
+
+
 def align(a: dict, b: dict) -> dict:
     """The wrapper that both match: children pair in order, those without a partner are optional."""
     out = _node(a["k"])
@@ -174,22 +203,13 @@ def align(a: dict, b: dict) -> dict:
     if [x["k"] for x in xs] == [y["k"] for y in ys]:
         out["d"] = [align(x, y) for x, y in zip(xs, ys, strict=True)]
         return out
-    # the longest common subsequence of the children's keys
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs) - 1, -1, -1):
-        for j in range(len(ys) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if xs[i]["k"] == ys[j]["k"] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(xs) or j < len(ys):
-        if i < len(xs) and j < len(ys) and xs[i]["k"] == ys[j]["k"]:
-            out["d"].append(align(xs[i], ys[j]))
-            i, j = i + 1, j + 1
-        elif j >= len(ys) or i < len(xs) and best[i + 1][j] >= best[i][j + 1]:
+    for i, j in _matches([x["k"] for x in xs], [y["k"] for y in ys]):
+        if i is None:
+            out["d"].append(ys[j] | {"o": True})
+        elif j is None:
             out["d"].append(xs[i] | {"o": True})
-            i += 1
         else:
-            out["d"].append(ys[j] | {"o": True})
-            j += 1
+            out["d"].append(align(xs[i], ys[j]))
     # an optional group next to an equal one is a repetition
     folded: list[dict] = []
     for x in out["d"]:

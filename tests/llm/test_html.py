@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.llm import html
@@ -78,3 +80,23 @@ def test_texts_that_copies_share_are_not_the_templates():
     place = "<div class=post><div class=note>note</div><div class=text>{t}</div><p>text {k}</p></div>"
     got = ruled([PAGE.format(k=k, body=place.format(k=k, t="note" if k == 4 else f"other {k}")) for k in range(12)])
     assert got[4] == "note\ntext 4" and got[5] == "other 5\ntext 5"
+
+
+def test_matches_pair_equal_keys_in_order_and_leave_none_out():
+    for xs, ys in (("", ""), ("abc", ""), ("", "abc"), ("abc", "abc"), ("abcd", "xbyd"), ("aab", "baa"), ("abab", "cabcab"), ("a" * 5, "a" * 3)):
+        got = list(html._matches(list(xs), list(ys)))
+        assert [i for i, _ in got if i is not None] == list(range(len(xs)))
+        assert [j for _, j in got if j is not None] == list(range(len(ys)))
+        assert all(xs[i] == ys[j] for i, j in got if i is not None and j is not None)
+    assert [(i, j) for i, j in html._matches(list("abcd"), list("xbyd")) if None not in (i, j)] == [(1, 1), (3, 3)]
+
+
+def test_long_unlike_pages_align_in_linear_time():
+    def page(letters):
+        return "<body><div class=post>" + "".join(f"<div class={letters[k % 2]}x{'abcdefghij'[k % 10]}><p>text {k}</p></div>" for k in range(6000)) + "</div></body>"
+
+    began = time.perf_counter()
+    both = html.align(html.page_tree(page("ab")), html.page_tree(page("cd")))
+    assert time.perf_counter() - began < 10
+    post = both["d"][0]["d"][0]
+    assert len(post["d"]) == 12000 and all(x["o"] for x in post["d"])
