@@ -56,6 +56,16 @@ def with_fields(rows: DataFrame, dialect: Dialect, raw: str = "raw", needed: int
     return rows.withColumn("fields", split_fields(F.col(raw), dialect, needed + 1 if needed >= 0 else -1))
 
 
+def field_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows (*keep, field_no, start, length): where each of a row's raw fields lies in its record, in characters."""
+    length = lambda x: F.length(x).cast("bigint")
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    after = lambda spans: F.get(spans, F.size(spans) - 1)
+    start = lambda spans: F.when(F.size(spans) > 0, after(spans)["start"] + after(spans)["length"] + 1).otherwise(F.lit(0).cast("bigint"))
+    spans = F.aggregate("fields", none, lambda found, x: F.concat(found, F.array(F.struct(start(found).alias("start"), length(x).alias("length")))))
+    return rows.select(*(keep or []), F.posexplode(spans).alias("field_no", "s")).select(*(keep or []), "field_no", "s.start", "s.length")
+
+
 def grouped_lines(docs: DataFrame, doc: str, dialect: Dialect, keep: list[str] | None = None) -> DataFrame:
     """Rows (*keep, rec_no, fields): lines_per_record lines each; a last partial or unterminated group is dropped."""
     n = dialect.lines_per_record

@@ -203,14 +203,7 @@ def records_crlf(spark, sf_dir):
 @query("SELECT n_nationkey, t.i AS field_no, CASE t.i WHEN 0 THEN 0 ELSE 2 + strlen(n_name) + 1 END AS start, CASE t.i WHEN 0 THEN strlen(n_name) + 2 ELSE strlen(CAST(n_regionkey AS VARCHAR)) END AS length FROM nation, (VALUES (0), (1)) t(i)")
 def field_spans(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", joined(",", quoted(F.col("n_name")), "n_regionkey").alias("raw"))
-    return records_spans(records.with_fields(rows, CSV))
-
-
-def records_spans(rows: DataFrame) -> DataFrame:
-    """Rows (n_nationkey, field_no, start, length) of raw fields within their record."""
-    before = lambda i: F.aggregate(F.slice("fields", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, x: n + F.length(x) + 1)
-    spans = F.transform("fields", lambda x, i: F.struct(before(i).alias("start"), F.length(x).cast("bigint").alias("length")))
-    return rows.select("n_nationkey", F.posexplode(spans).alias("field_no", "s")).select("n_nationkey", "field_no", "s.start", "s.length")
+    return records.field_spans(records.with_fields(rows, CSV), ["n_nationkey"])
 
 
 @query("SELECT o_orderkey, i.k AS rec_no, o_orderstatus || i.k AS raw FROM orders, (VALUES (1), (2)) i(k)")
@@ -526,6 +519,16 @@ def stream_equals_batch(spark, sf_dir):
     return streaming.replayed(streaming.sequenced(docs, 5), CSV)
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS stream, CAST(0 AS BIGINT) AS rec_no, o_orderstatus AS name, strlen(o_orderpriority) AS bases FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 'last', 0 FROM orders WHERE o_orderstatus = 'F'")
+def stream_grouped_lines(spark, sf_dir):
+    """Four lines a record from chunked streams; the second record of most streams is cut off and dropped."""
+    first = F.concat(F.lit("@"), "o_orderstatus", F.lit("\r\n"), "o_orderpriority", F.lit("\n+\n!\n"))
+    second = F.when(F.col("o_orderstatus") == "F", F.lit("@last\n\n+\n\n")).otherwise(F.lit("@last\n\n+\nx"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("stream"), F.concat(first, second).alias("text"))
+    rows = streaming.replayed(streaming.sequenced(docs, 7), DIALECTS["fastq"])
+    return rows.select("stream", "rec_no", F.substr(F.get("fields", F.lit(0)), F.lit(2)).alias("name"), F.length(F.get("fields", F.lit(1))).cast("bigint").alias("bases"))
+
+
 # --- counts, kinds, programs, states
 
 

@@ -4,7 +4,10 @@ Headers are walked when reads are planned; runs of frames become partitions, so
 """
 from __future__ import annotations
 
+import glob
 import json
+import mmap
+import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,17 +41,22 @@ class FramedReader(DataSourceReader):
         self.framing = framing_option(options.get("framing", "bgzf"))
         self.decode = options.get("decoder", "deflate" if self.framing in ("bgzf", BGZF) else "none")
         self.run = int(options.get("framesPerPartition", "256"))
-        self.paths = sorted(options["path"].split(","))
+        self.paths = sorted(p for given in options["path"].split(",") for p in glob.glob(given) or [given])
 
     def partitions(self):
         out = []
         for path in self.paths:
-            with open(path, "rb") as f:
-                data = f.read()
-            found = list(scan_bgzf(data) if self.framing == "bgzf" else scan(self.framing, data))
+            found = self.scanned(path)
             out += [FrameRun(path, k, found[k : k + self.run]) for k in range(0, len(found), self.run)]
         return out or [FrameRun(self.paths[0], 0, [])]
 
+    def scanned(self, path: str) -> list:
+        """A file's frames; the file is mapped, so that headers alone are read."""
+        if not os.path.getsize(path):
+            return []
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return list(scan_bgzf(data) if self.framing == "bgzf" else scan(self.framing, data))
+
     def read(self, partition: FrameRun) -> Iterator[tuple]:
         decode = DECODERS[self.decode]
         with open(partition.path, "rb") as f:

@@ -115,7 +115,10 @@ def frame_at(framing: Framing, data: bytes, at: int) -> Frame:
         raise FramingError(f"the frame at {at} runs past the end")
     plain = None
     if (f := framing.uncompressed) is not None:
-        plain = _number(data[at : at + size], f.at if f.at >= 0 else size + f.at, f.width, f.endian)
+        place = f.at if f.at >= 0 else size + f.at
+        if place < 0 or place + f.width > size:
+            raise FramingError(f"the size field of the frame at {at} lies outside it")
+        plain = _number(data, at + place, f.width, f.endian)
     return Frame(at, size, at + head, at + size - framing.trailer, plain)
 
 

@@ -2,15 +2,17 @@
 
 A source delivers rows (stream, seq, chunk, eof). A record may span chunks, and quotes and escapes too, so
 the state of a stream is the text that no record has taken yet; the next chunk is scanned after it. A row with
-eof flushes the last record, which may lack its terminator. Chunks of one micro-batch may come in any order
+eof flushes the last record, which may lack its terminator. Groups of lines are cut in the same way. Chunks of one micro-batch may come in any order
 and are sorted by seq. The records equal those of the joined chunks read at once.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,59 +21,79 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.spec import Dialect
 
-OUTPUT = "stream string, rec_no bigint, raw string"
 STATE = "rest string, n bigint"
 
 
+@lru_cache
+def _stops(dialect: Dialect) -> tuple[re.Pattern, re.Pattern]:
+    """What a scan stops at outside quotes, and within them; an escape takes the next character along, but no newline."""
+    escaped = [re.escape(dialect.escape_char) + r"(?:[^\n]|(?=\n)|\Z)"] if dialect.backslash else []
+    quote = [re.escape(dialect.quote)] if dialect.quote else []
+    return re.compile("|".join([*escaped, *quote, r"\n"])), re.compile("|".join([*escaped, *quote]) or r"(?!)")
+
+
 def cut(text: str, dialect: Dialect, final: bool) -> tuple[list[str], str]:
     """(records, rest) of a text that begins at a record's start."""
-    out, at, quoted, i, comment = [], 0, False, 0, False
-    quote, escape = dialect.quote, dialect.escape_char if dialect.backslash else None
-    while i < len(text):
-        c = text[i]
-        if i == at and not quoted and dialect.comment == c:
-            comment = True
-        if comment:
-            end = text.find("\n", i)
+    out, at, i, quoted = [], 0, 0, False
+    outside, inside = _stops(dialect)
+    while at < len(text):
+        if i == at and not quoted and dialect.comment and text.startswith(dialect.comment, at):
+            end = text.find("\n", at)
             if end < 0:
                 break
-            i = at = end + 1
-            comment = False
+            at = i = end + 1
             continue
-        if c == escape:
-            i += 2
-            if i - 1 < len(text) and text[i - 1] == "\n":
-                i -= 1  # a terminator ends the record though an escape precedes it
-            continue
-        if c == quote:
+        found = (inside if quoted else outside).search(text, i)
+        if not found:
+            break
+        i = found.end()
+        if found[0] == dialect.quote:
             quoted = not quoted
-        elif c == "\n" and not quoted:
-            out.append(text[at:i])
-            at = i + 1
-        i += 1
+        elif found[0] == "\n":
+            out.append(text[at : found.start()])
+            at = i
     rest = text[at:]
     if final:
-        if rest and not (dialect.comment and rest.startswith(dialect.comment) and not quoted):
+        if rest and not (dialect.comment and rest.startswith(dialect.comment)):
             out.append(rest)
         rest = ""
     return [r[:-1] if r.endswith("\r") else r for r in out], rest
 
 
-def stream_records(chunks: DataFrame, dialect: Dialect) -> DataFrame:
-    """Rows (stream, rec_no, raw) of a streaming or batch DataFrame (stream, seq, chunk, eof)."""
+def cut_groups(text: str, lines: int) -> tuple[list[list[str]], str]:
+    """(groups, rest) of a text that begins at a group's start; a group is so many terminated lines."""
+    parts = text.split("\n")
+    whole = (len(parts) - 1) // lines * lines
+    groups = [[x.removesuffix("\r") for x in parts[k : k + lines]] for k in range(0, whole, lines)]
+    return groups, "\n".join(parts[whole:])
+
+
+def _folded(chunks: DataFrame, take: Callable[[str, bool], tuple[list, str]], name: str, kind: str) -> DataFrame:
+    """Rows (stream, rec_no, name) of what take(text, final) finds in each stream; it also returns the rest that waits."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, n = state.get if state.exists else ("", 0)
         rows = pd.concat(list(parts)).sort_values("seq")
         final = bool(rows["eof"].any())
-        found, rest = cut(rest + "".join(rows["chunk"].fillna("")), dialect, final)
-        yield pd.DataFrame({"stream": [key[0]] * len(found), "rec_no": range(n, n + len(found)), "raw": found})
+        found, rest = take(rest + "".join(rows["chunk"].fillna("")), final)
+        yield pd.DataFrame({"stream": [key[0]] * len(found), "rec_no": range(n, n + len(found)), name: found})
         if final:
             state.remove()
         else:
             state.update((rest, n + len(found)))
 
-    return chunks.groupBy("stream").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    schema = f"stream string, rec_no bigint, {name} {kind}"
+    return chunks.groupBy("stream").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_records(chunks: DataFrame, dialect: Dialect) -> DataFrame:
+    """Rows (stream, rec_no, raw) of a streaming or batch DataFrame (stream, seq, chunk, eof)."""
+    return _folded(chunks, lambda text, final: cut(text, dialect, final), "raw", "string")
+
+
+def stream_groups(chunks: DataFrame, dialect: Dialect) -> DataFrame:
+    """Rows (stream, rec_no, fields) of the same input: lines_per_record lines each; a last partial or unterminated group is dropped."""
+    return _folded(chunks, lambda text, _: cut_groups(text, dialect.lines_per_record), "fields", "array<string>")
 
 
 def sequenced(texts: DataFrame, size: int, stream: str = "stream", text: str = "text") -> DataFrame:
@@ -88,7 +110,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def replayed(chunks: DataFrame, dialect: Dialect) -> DataFrame:
-    """The records of a batch of chunks, run through the streaming operator until all input is taken.
+    """The records of a batch of chunks, or groups of lines, run through the streaming operator until all input is taken.
 
     Chunks, state and records are kept in the session's shared checkpoint folder (a local one only where none is set).
     """
@@ -96,6 +118,7 @@ def replayed(chunks: DataFrame, dialect: Dialect) -> DataFrame:
     folder = shared_folder(spark, "stream")
     chunks.write.parquet(f"{folder}/chunks")
     source = spark.readStream.schema(chunks.schema).parquet(f"{folder}/chunks")
-    out = stream_records(source, dialect).writeStream.format("parquet").option("path", f"{folder}/records")
+    rows = (stream_groups if dialect.lines_per_record > 1 else stream_records)(source, dialect)
+    out = rows.writeStream.format("parquet").option("path", f"{folder}/records")
     out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/records")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/records")

@@ -34,3 +34,22 @@ def test_the_registered_replay_takes_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     got = {(r["stream"], r["rec_no"]): r["raw"] for r in registry.stream_equals_batch(spark, str(tmp_path)).collect()}
     assert got == {(str(k), n): raw for k, s, p in rows for n, raw in enumerate([f'"a\n""b",{s}', p])}
+
+
+@pytest.mark.parametrize("step", [1, 3, 50])
+def test_any_cuts_give_the_same_groups(step):
+    for text in ("", "a", "a\nb\nc\nd", "a\nb\r\n\nd\ne\n", "1\n2\n3\n4\n5\n6\n7\n8\n", "\n" * 9):
+        got, rest = [], ""
+        for at in range(0, len(text), step):
+            more, rest = streaming.cut_groups(rest + text[at : at + step], 4)
+            got += more
+        lines = [x.removesuffix("\r") for x in text.split("\n")[:-1]]
+        assert got == [lines[k : k + 4] for k in range(0, len(lines) - 3, 4)]
+
+
+def test_the_registered_groups_drop_the_cut_off_ones(spark, tmp_path):
+    rows = [(i, "FOP"[i % 3], f"{i}-LOW") for i in range(12)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r["stream"], r["rec_no"]): (r["name"], r["bases"]) for r in registry.stream_grouped_lines(spark, str(tmp_path)).collect()}
+    want = {(str(k), 0): (s, len(p)) for k, s, p in rows} | {(str(k), 1): ("last", 0) for k, s, _ in rows if s == "F"}
+    assert got == want
