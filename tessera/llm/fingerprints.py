@@ -114,6 +114,7 @@ def with_next(docs: DataFrame, extras: dict[str, Column] | None = None) -> DataF
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; contained_* is the share of its shingles that the other text has, null where that is unknown."""
     pairs = with_next(table(spark, sf_dir, "documents"), {"_next": sketch(F.col("text"))})
     kept = F.substring("text", F.lit(1), F.length("text") - F.col("_quarter"))
     out = pairs.select("doc_id", "text", "_next", F.concat(kept, F.col("_opening")).alias("_edited"))
@@ -133,4 +134,6 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_text(F.col("_changed")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_changed")).alias("near_edited"),
         likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+        containment(F.col("_own"), F.col("_changed")).alias("contained_in_edited"),
+        containment(F.col("_own"), F.col("_next")).alias("contained_in_next"),
     )

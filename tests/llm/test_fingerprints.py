@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -69,3 +70,22 @@ def test_merged_sketches_of_short_texts_are_the_sketch_of_all_shingles(spark):
     for r in first:
         every = sorted({*r["a"], *r["b"]})
         assert r["m"] == ([h for h in every if h < (1 << 63) // fp.SCALE] or every[:1])
+
+
+def test_estimates_come_near_the_shares_of_all_shingles(spark, make, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(12_000)]
+    # a very long text, a part of it, one that half overlaps that part, another text
+    texts = [" ".join(words), " ".join(words[4000:6000]), " ".join(words[5000:7000]), " ".join(f"v{k}" for k in range(3000))]
+    make(*texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fp.op1_fingerprints(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        q = len(text) // 4
+        for other, near, held in ((text[: len(text) - q] + after[:q], "near_edited", "contained_in_edited"), (after, "near_next", "contained_in_next")):
+            a, b = shingles(text), shingles(other)
+            assert abs(got[k][near] - len(a & b) / len(a | b)) < 0.08
+            assert abs(got[k][held] - len(a & b) / len(a)) < 0.08
+    # the part is held whole, though the texts are very unequal
+    pair = spark.createDataFrame([(texts[1], texts[0])], "a string, b string")
+    assert pair.select(fp.containment(fp.sketch(F.col("a")), fp.sketch(F.col("b")))).first()[0] == 1.0
