@@ -24,6 +24,13 @@ def char_class(chars: tuple[str, ...] | str) -> str:
     return "[" + "".join(_CLASS.get(c, c) for c in chars) + "]"
 
 
+def separator(chars: tuple[str, ...] | str) -> str:
+    """A pattern to split at any of chars; one character alone is written so that the JVM splits without compiling a pattern for each row."""
+    if len(chars) != 1:
+        return char_class(chars)
+    return "\\" + chars[0] if chars[0] in ".$|()[{^?*+\\" else chars[0]
+
+
 def latin1(content: Column) -> Column:
     """Bytes as a string of one character each."""
     return F.decode(content, "ISO-8859-1")
@@ -90,7 +97,7 @@ def split_live(raw: Column, dialect: Dialect, at: tuple[str, ...], limit: int =
 
     Texts without quotes are cut into `limit` parts at most, if that is positive, of which the last holds the rest.
     """
-    plain = F.split(raw, char_class(at), limit) if at else F.array(raw)
+    plain = F.split(raw, separator(at), limit) if at else F.array(raw)
     if not dialect.quote or not at:
         return plain
     quote = dialect.quote
@@ -98,7 +105,7 @@ def split_live(raw: Column, dialect: Dialect, at: tuple[str, ...], limit: int =
     def parity(text: Column) -> Column:
         """text with a MARK for every live separator: segments between quotes are outside, inside, outside..."""
         outside = lambda s, i: F.when(i % 2 == 0, F.translate(s, "".join(at), MARK * len(at))).otherwise(s)
-        return F.split(F.array_join(F.transform(F.split(text, char_class(quote)), outside), quote), MARK)
+        return F.split(F.array_join(F.transform(F.split(text, separator(quote)), outside), quote), MARK)
 
     def marked(text: Column) -> Column:
         if not dialect.backslash:
