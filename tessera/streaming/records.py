@@ -4,10 +4,15 @@ A source delivers rows (stream, seq, chunk, eof). A record may span chunks, and
 the state of a stream is the text that no record has taken yet; the next chunk is scanned after it. A row with
 eof flushes the last record, which may lack its terminator. Groups of lines are cut in the same way. Chunks of one micro-batch may come in any order
 and are sorted by seq. The records equal those of the joined chunks read at once.
+
+A call of Python and a row of the state store serve a bucket of streams, dealt by a hash, as they cost a thousand times
+what a short stream does. A bucket's chunks of one micro-batch and its open streams' rests are held at once, so their
+number should grow with the input; it must stay the same as long as a checkpoint is used.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -21,7 +26,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.spec import Dialect
 
-STATE = "rest string, n bigint"
+#: Of a bucket: its open streams as JSON, each (stream, rest, records so far).
+STATE = "open string"
+#: Buckets of streams where the caller knows no better, and the chunks for which a replay makes a bucket.
+BUCKETS, BUCKET_CHUNKS = 1024, 20_000
 
 
 @lru_cache
@@ -68,32 +76,49 @@ def cut_groups(text: str, lines: int) -> tuple[list[list[str]], str]:
     return groups, "\n".join(parts[whole:])
 
 
-def _folded(chunks: DataFrame, take: Callable[[str, bool], tuple[list, str]], name: str, kind: str) -> DataFrame:
-    """Rows (stream, rec_no, name) of what take(text, final) finds in each stream; it also returns the rest that waits."""
+def _fold(take: Callable[[str, bool], tuple[list, str]], name: str) -> Callable:
+    """What a bucket's call does with its chunks and state; take(text, final) gives what it finds and the rest that waits."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, n = state.get if state.exists else ("", 0)
+        waits = {s: (rest, n) for s, rest, n in json.loads(state.get[0])} if state.exists else {}
         rows = pd.concat(list(parts)).sort_values("seq")
-        final = bool(rows["eof"].any())
-        found, rest = take(rest + "".join(rows["chunk"].fillna("")), final)
-        yield pd.DataFrame({"stream": [key[0]] * len(found), "rec_no": range(n, n + len(found)), name: found})
-        if final:
+        texts: dict[str | None, list[str]] = {}
+        for s, chunk in zip(rows["stream"].tolist(), rows["chunk"].fillna("").tolist(), strict=True):
+            texts.setdefault(s, []).append(chunk)
+        ended = set(rows.loc[rows["eof"].eq(True), "stream"].tolist())
+        streams, numbers, values = [], [], []
+        for s, pieces in texts.items():
+            rest, n = waits.pop(s, ("", 0))
+            found, rest = take(rest + "".join(pieces), s in ended)
+            streams += [s] * len(found)
+            numbers += range(n, n + len(found))
+            values += found
+            if s not in ended:
+                waits[s] = rest, n + len(found)
+        yield pd.DataFrame({"stream": streams, "rec_no": numbers, name: values})
+        if waits:
+            state.update((json.dumps([(s, *kept) for s, kept in waits.items()]),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((rest, n + len(found)))
 
+    return run
+
+
+def _folded(chunks: DataFrame, take: Callable[[str, bool], tuple[list, str]], name: str, kind: str, buckets: int) -> DataFrame:
+    """Rows (stream, rec_no, name) of what take(text, final) finds in each stream."""
     schema = f"stream string, rec_no bigint, {name} {kind}"
-    return chunks.groupBy("stream").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    dealt = chunks.select(F.pmod(F.xxhash64("stream"), F.lit(buckets)).alias("bucket"), "stream", "seq", "chunk", "eof")
+    return dealt.groupBy("bucket").applyInPandasWithState(_fold(take, name), schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_records(chunks: DataFrame, dialect: Dialect) -> DataFrame:
+def stream_records(chunks: DataFrame, dialect: Dialect, buckets: int = BUCKETS) -> DataFrame:
     """Rows (stream, rec_no, raw) of a streaming or batch DataFrame (stream, seq, chunk, eof)."""
-    return _folded(chunks, lambda text, final: cut(text, dialect, final), "raw", "string")
+    return _folded(chunks, lambda text, final: cut(text, dialect, final), "raw", "string", buckets)
 
 
-def stream_groups(chunks: DataFrame, dialect: Dialect) -> DataFrame:
+def stream_groups(chunks: DataFrame, dialect: Dialect, buckets: int = BUCKETS) -> DataFrame:
     """Rows (stream, rec_no, fields) of the same input: lines_per_record lines each; a last partial or unterminated group is dropped."""
-    return _folded(chunks, lambda text, _: cut_groups(text, dialect.lines_per_record), "fields", "array<string>")
+    return _folded(chunks, lambda text, _: cut_groups(text, dialect.lines_per_record), "fields", "array<string>", buckets)
 
 
 def sequenced(texts: DataFrame, size: int, stream: str = "stream", text: str = "text") -> DataFrame:
@@ -117,8 +142,9 @@ def replayed(chunks: DataFrame, dialect: Dialect) -> DataFrame:
     spark = chunks.sparkSession
     folder = shared_folder(spark, "stream")
     chunks.write.parquet(f"{folder}/chunks")
+    buckets = max(1, spark.read.parquet(f"{folder}/chunks").count() // BUCKET_CHUNKS)
     source = spark.readStream.schema(chunks.schema).parquet(f"{folder}/chunks")
-    rows = (stream_groups if dialect.lines_per_record > 1 else stream_records)(source, dialect)
+    rows = (stream_groups if dialect.lines_per_record > 1 else stream_records)(source, dialect, buckets)
     out = rows.writeStream.format("parquet").option("path", f"{folder}/records")
     out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/records")

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from tessera.plans import registry
@@ -29,6 +30,37 @@ def test_stream_equals_batch(spark):
     assert got == {(s, k): v for s, t in rows for k, v in enumerate([t.split("\r\n")[0], t.split("\r\n")[1]])}
 
 
+class _Held:
+    """The state of one bucket between micro-batches."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+@pytest.mark.parametrize("name", ["csv"])
+def test_one_call_folds_many_streams(name):
+    """Streams that open, wait and end in different micro-batches of one bucket."""
+    calls, take = [], (lambda t, _: streaming.cut_groups(t, 4)) if name == "fastq" else (lambda t, final: streaming.cut(t, DIALECTS[name], final))
+    run = streaming._fold(take, "x")
+    texts = {f"s{i}" if i else None: f'"{i}\n",b\r\n\nlast\n{"y" * (i % 3)}' for i in range(3000)}
+    chunks = [(s, q, t[4 * q : 4 * q + 4] or None, 4 * q + 4 >= len(t)) for s, t in texts.items() for q in range(max(1, -(-len(t) // 4)))]
+    random.Random(2).shuffle(chunks)
+    held, got = _Held(), {}
+    for q in range(0, 9, 2):
+        part = pd.DataFrame([c for c in chunks if c[1] in (q, q + 1)], columns=["stream", "seq", "chunk", "eof"])
+        calls += [frame for frame in run((0,), iter([part[:50], part[50:]]), held)] if len(part) else []
+    for frame in calls:
+        got |= {(r.stream, r.rec_no): r.x for r in frame.itertuples()}
+    whole = {s: take(t, True)[0] for s, t in texts.items()}
+    assert got == {(s, n): x for s, found in whole.items() for n, x in enumerate(found)}
+    assert len(calls) < 9 and not held.exists
+
+
 def test_the_registered_replay_takes_all_orders(spark, tmp_path):
     rows = [(i, "FOP"[i % 3], f"{i}-LOW") for i in range(20)]
     spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
