@@ -42,7 +42,7 @@ class _Held:
         self.exists, self.get = False, None
 
 
-@pytest.mark.parametrize("name", ["csv"])
+@pytest.mark.parametrize("name", ["csv", "fastq"])
 def test_one_call_folds_many_streams(name):
     """Streams that open, wait and end in different micro-batches of one bucket."""
     calls, take = [], (lambda t, _: streaming.cut_groups(t, 4)) if name == "fastq" else (lambda t, final: streaming.cut(t, DIALECTS[name], final))
