@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 
 #: Pieces of more bytes are merged through a heap.
 LONG = 256
@@ -206,15 +206,13 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
-
-
 def encoder(ranks: bytes, pattern: str) -> Encoder:
     """One encoder for each vocabulary in a worker process."""
     key = hashlib.sha256(ranks + pattern.encode()).digest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
+    held = tb.kept("bpe")
+    if key not in held:
+        held[key] = Encoder(ranks, pattern)
+    return held[key]
 
 
 def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str] | None = None, ids: bool = True) -> DataFrame:
@@ -222,6 +220,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str] | None
 
     The vocabulary's bytes travel with the task, so workers need no file.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     own = [T.StructField("n_tokens", T.LongType())] + [T.StructField("ids", T.BinaryType())] * ids
     own += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -238,7 +237,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str] | None
                 made.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in raw], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(tb.lean(run, "bpe"), schema)
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:

@@ -17,6 +17,8 @@ SALTS = 16
 HOT_SHARE, HOT_ROWS = 1 / 1000, 200
 #: Bits of a mask that says which rows are worth a join, and the bytes of a bitmap of which it is made.
 MASK_BITS, _BITMAP = 1 << 24, 4096
+#: Rows of a batch that is sent to Python at most; operators work on a megabyte of text at once, so more only take memory on both sides.
+ARROW_ROWS, _ARROW_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of monotonically_increasing_id() that number the rows of one partition.
 _ROW_BITS = 33
 
@@ -37,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to ARROW_ROWS; no result depends on them."""
+    if not 0 < int(spark.conf.get(_ARROW_KEY)) <= ARROW_ROWS:
+        spark.conf.set(_ARROW_KEY, ARROW_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import SALTS, bit_mask, checkpointed, hot_keys, join_spread, keep_rows, mask_place, table, uniform
+from tessera.llm.common import SALTS, bit_mask, checkpointed, hot_keys, join_spread, keep_rows, mask_place, small_batches, table, uniform
 from tessera.llm.components import components
 
 #: One of so many documents is sampled for common tokens, those in at least SEEN sampled ones; COMMON at most.
@@ -90,7 +90,8 @@ def _common_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
                 rows = _lists(tokens, np.diff(offsets)).take(pa.array(first))
                 yield pa.RecordBatch.from_arrays([rows], ["tokens"])
 
-    some = docs.filter(uniform(F.xxhash64("text")) < 1 / SAMPLE).select("text").mapInArrow(run, "tokens array<bigint>")
+    small_batches(docs.sparkSession)
+    some = docs.filter(uniform(F.xxhash64("text")) < 1 / SAMPLE).select("text").mapInArrow(tb.lean(run), "tokens array<bigint>")
     counted = some.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= SEEN)
     found = counted.orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
     token = found["token"].to_numpy().astype(np.int64).view(np.uint64)
@@ -113,6 +114,7 @@ def _keys(tokens: np.ndarray, seen: np.ndarray, doc: np.ndarray, most: np.ndarra
 
 def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (doc_id, text_hash, n, s, s2, key, prefix, hot): the set's size, identity, key, and prefix without and with hot tokens."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def _prefixed(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
                 at += rows
 
     schema = "doc_id bigint, text_hash bigint, n bigint, s bigint, s2 bigint, key bigint, prefix array<bigint>, hot array<bigint>"
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tb.lean(run), schema)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -164,7 +166,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
 
     given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     given = given.select("doc_id", "text_hash", mask_place("doc_id", "text_hash").alias("place"), "text")
-    texts = given.mapInArrow(run, "_doc_id bigint, _text_hash bigint, data binary, bytes bigint")
+    texts = given.mapInArrow(tb.lean(run), "_doc_id bigint, _text_hash bigint, data binary, bytes bigint")
     if repeated:
         texts = texts.dropDuplicates(["_doc_id", "_text_hash"])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
@@ -301,7 +303,7 @@ def _grouped(docs: DataFrame, sets: DataFrame, width: int, percent: int, repeate
         keys = checkpointed(keys.select("key", "members", _chunks("members", "tokens").alias("chunks")))
         chunk = F.xxhash64("key", F.pmod(F.xxhash64("sid"), F.col("chunks"))).alias("chunk")
         wanted = join_spread(now, keys, "key", hot_keys(keys, "key", "members")).select("doc_id", "text_hash", "sid", chunk)
-        own = checkpointed(_texts(docs, wanted, repeated).groupBy("chunk").applyInArrow(_own(width, percent), "sid bigint, g bigint, single boolean"))
+        own = checkpointed(_texts(docs, wanted, repeated).groupBy("chunk").applyInArrow(tb.lean_group(_own(width, percent)), "sid bigint, g bigint, single boolean"))
         if found is None:
             found = own
         else:
@@ -363,7 +365,7 @@ def _verified(docs: DataFrame, opened: DataFrame, labels: DataFrame, first: bool
     block = F.pmod(F.xxhash64("sid"), F.col("queries")).cast("int")
     asking = asking.select("sid", "g", F.explode(some).alias("chunk"), block.alias("block"), F.lit(True).alias("query")).join(who, "sid")
     texts = _texts(docs, answer.unionByName(asking).drop("sid"), repeated)
-    return texts.groupBy("g", "chunk", "block").applyInArrow(_asked(width, percent), "a bigint, b bigint")
+    return texts.groupBy("g", "chunk", "block").applyInArrow(tb.lean_group(_asked(width, percent)), "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:

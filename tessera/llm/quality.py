@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import table, uniform
+from tessera.llm.common import small_batches, table, uniform
 
 #: Labelled rows that the weights are learned from, about.
 TRAIN_ROWS = 20_000
@@ -190,6 +190,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("_good"))
     share = rows / max(known.count(), 1)
@@ -202,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_good"), flat], ["doc_id", "_good", "x"])
 
-    found = texts.mapInArrow(measured, "doc_id bigint, _good boolean, x array<float>").toArrow()
+    found = texts.mapInArrow(tb.lean(measured), "doc_id bigint, _good boolean, x array<float>").toArrow()
     if not found.num_rows:
         return constant_model()
     x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
@@ -213,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with each text's score; all columns of docs stay."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 score = model.score(features(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tb.lean(run), schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,18 @@ a single text, which is held whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
+#: Bytes of a group from which on its memory is given back when it is done.
+LARGE_GROUP = 1 << 18
+#: What worker processes keep between tasks, by the operator that uses it.
+_KEPT: dict[str, dict] = {}
 #: White space as the word pattern has it: space and U+0009 to U+000D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,6 +57,52 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[p
     pa.default_memory_pool().release_unused()
 
 
+def kept(name: str) -> dict:
+    """The dictionary in which an operator keeps things between the tasks of a worker process; other operators' stages empty it."""
+    return _KEPT.setdefault(name, {})
+
+
+def begin(name: str | None) -> None:
+    """Drop what other operators keep in this process."""
+    for other, held in _KEPT.items():
+        if other != name:
+            held.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers are reused and wait beside later stages, and C's allocator keeps what is freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, name: str | None = None) -> Callable:
+    """A function of batches for mapInArrow that drops what other operators keep, and gives memory back after the last batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(name)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """As lean(), for a function of one group's table."""
+
+    def wrapped(block: pa.Table) -> pa.Table:
+        begin(None)
+        out = run(block)
+        if block.nbytes >= LARGE_GROUP:
+            give_back()
+        return out
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
