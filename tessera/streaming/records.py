@@ -5,6 +5,10 @@ the state of a stream is the text that no record has taken yet; the next chunk i
 eof flushes the last record, which may lack its terminator. Groups of lines are cut in the same way. Chunks of one micro-batch may come in any order
 and are sorted by seq. The records equal those of the joined chunks read at once.
 
+Chunks that lie next to each other in a batch and follow each other in their stream are joined before they are shuffled, so what
+is dealt out, sorted and handed to the state's Python is about a row for each stream where a feed brings streams one after the other.
+Any (stream, seq) comes once.
+
 A call of Python and a row of the state store serve a bucket of streams, dealt by a hash, as they cost a thousand times
 what a short stream does. A bucket's chunks of one micro-batch and its open streams' rests are held at once, so their
 number should grow with the input; it must stay the same as long as a checkpoint is used.
@@ -19,7 +23,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,6 +37,8 @@ from tessera.sources.spec import Dialect
 STATE = "open string"
 #: Buckets of streams where the caller knows no better, and the chunks for which a replay makes a bucket.
 BUCKETS, BUCKET_CHUNKS = 1024, 20_000
+#: Records of a bucket that leave Python as one row at most, and about so many characters.
+PACKED, PACKED_CHARS = 20, 1000
 
 
 @lru_cache
@@ -68,16 +77,43 @@ def cut(text: str, dialect: Dialect, final: bool) -> tuple[list[str], str]:
     return [r[:-1] if r.endswith("\r") else r for r in out], rest
 
 
-def cut_groups(text: str, lines: int) -> tuple[list[list[str]], str]:
-    """(groups, rest) of a text that begins at a group's start; a group is so many terminated lines."""
+def raw_groups(text: str, lines: int) -> tuple[list[str], str]:
+    """(groups, rest) of a text that begins at a group's start; a group is the text of so many terminated lines, without its last newline."""
     parts = text.split("\n")
     whole = (len(parts) - 1) // lines * lines
-    groups = [[x.removesuffix("\r") for x in parts[k : k + lines]] for k in range(0, whole, lines)]
+    groups = ["\n".join(parts[k : k + lines]) for k in range(0, whole, lines)]
+    if "\r" in text:
+        groups = [x.replace("\r\n", "\n").removesuffix("\r") for x in groups]
     return groups, "\n".join(parts[whole:])
 
 
-def _fold(take: Callable[[str, bool], tuple[list, str]], name: str) -> Callable:
-    """What a bucket's call does with its chunks and state; take(text, final) gives what it finds and the rest that waits."""
+def cut_groups(text: str, lines: int) -> tuple[list[list[str]], str]:
+    """(groups, rest) as of raw_groups(), groups as lists of lines."""
+    found, rest = raw_groups(text, lines)
+    return [x.split("\n") for x in found], rest
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stream, seq, chunk, eof) in which neighbours of one stream with successive seq are one row, at the first one's seq."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        stream, seq, chunk, eof = batch.columns
+        follows = pc.and_(pc.equal(stream[1:], stream[:-1]), pc.equal(seq[1:], pc.add(seq[:-1].cast(pa.int64()), 1)))
+        first = np.flatnonzero(np.append(True, ~follows.fill_null(False).to_numpy(zero_copy_only=False)))
+        text = chunk.cast(pa.string()).fill_null("")
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1][np.append(first, len(text))]
+        text = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), text.buffers()[2])
+        ended = np.logical_or.reduceat(eof.fill_null(False).to_numpy(zero_copy_only=False), first)
+        yield pa.RecordBatch.from_arrays([stream.take(pa.array(first)), seq.take(pa.array(first)), text.cast(chunk.type), pa.array(ended)], batch.schema.names)
+
+
+def _fold(take: Callable[[str, bool], tuple[list, str]], name: str, packed: bool = False) -> Callable:
+    """What a bucket's call does with its chunks and state; take(text, final) gives what it finds and the rest that waits.
+
+    With packed, a row has lists of values, few if they are long: Spark's Python takes as long over each row as the fold does over a
+    stream, and holds 10,000 of them at a time.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waits = {s: (rest, n) for s, rest, n in json.loads(state.get[0])} if state.exists else {}
@@ -95,7 +131,11 @@ def _fold(take: Callable[[str, bool], tuple[list, str]], name: str) -> Callable:
             values += found
             if s not in ended:
                 waits[s] = rest, n + len(found)
-        yield pd.DataFrame({"stream": streams, "rec_no": numbers, name: values})
+        found = {"stream": streams, "rec_no": numbers, name: values}
+        if packed:
+            n = max(1, min(PACKED, PACKED_CHARS * len(values) // (1 + sum(map(len, values)))))
+            found = {c: [x[k : k + n] for k in range(0, len(x), n)] for c, x in found.items()}
+        yield pd.DataFrame(found)
         if waits:
             state.update((json.dumps([(s, *kept) for s, kept in waits.items()]),))
         elif state.exists:
@@ -104,28 +144,37 @@ def _fold(take: Callable[[str, bool], tuple[list, str]], name: str) -> Callable:
     return run
 
 
-def _folded(chunks: DataFrame, take: Callable[[str, bool], tuple[list, str]], name: str, kind: str, buckets: int) -> DataFrame:
+def _folded(chunks: DataFrame, take: Callable[[str, bool], tuple[list, str]], name: str, buckets: int) -> DataFrame:
     """Rows (stream, rec_no, name) of what take(text, final) finds in each stream."""
-    schema = f"stream string, rec_no bigint, {name} {kind}"
-    dealt = chunks.select(F.pmod(F.xxhash64("stream"), F.lit(buckets)).alias("bucket"), "stream", "seq", "chunk", "eof")
-    return dealt.groupBy("bucket").applyInPandasWithState(_fold(take, name), schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    schema = f"stream array<string>, rec_no array<bigint>, {name} array<string>"
+    rows = chunks.select("stream", "seq", "chunk", "eof")
+    dealt = rows.mapInArrow(_joined, rows.schema).select(F.pmod(F.xxhash64("stream"), F.lit(buckets)).alias("bucket"), "stream", "seq", "chunk", "eof")
+    found = dealt.groupBy("bucket").applyInPandasWithState(_fold(take, name, True), schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return found.select(F.inline(F.arrays_zip("stream", "rec_no", name)))
 
 
 def stream_records(chunks: DataFrame, dialect: Dialect, buckets: int = BUCKETS) -> DataFrame:
     """Rows (stream, rec_no, raw) of a streaming or batch DataFrame (stream, seq, chunk, eof)."""
-    return _folded(chunks, lambda text, final: cut(text, dialect, final), "raw", "string", buckets)
+    return _folded(chunks, lambda text, final: cut(text, dialect, final), "raw", buckets)
 
 
 def stream_groups(chunks: DataFrame, dialect: Dialect, buckets: int = BUCKETS) -> DataFrame:
     """Rows (stream, rec_no, fields) of the same input: lines_per_record lines each; a last partial or unterminated group is dropped."""
-    return _folded(chunks, lambda text, _: cut_groups(text, dialect.lines_per_record), "fields", "array<string>", buckets)
+    rows = _folded(chunks, lambda text, _: raw_groups(text, dialect.lines_per_record), "raw", buckets)
+    return rows.select("stream", "rec_no", F.split("raw", "\n", -1).alias("fields"))
 
 
 def sequenced(texts: DataFrame, size: int, stream: str = "stream", text: str = "text") -> DataFrame:
-    """Rows (stream, seq, chunk, eof): texts cut into chunks of `size` characters, for tests and replays."""
-    n = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.substring(text, i * size + 1, F.lit(size)).alias("chunk"), (i == n - 1).alias("eof")))
-    return texts.select(F.col(stream).alias("stream"), F.posexplode(parts).alias("seq", "p")).select("stream", "seq", F.col("p.chunk").alias("chunk"), F.col("p.eof").alias("eof"))
+    """Rows (stream, seq, chunk, eof): texts cut into chunks of `size` characters, for tests and replays.
+
+    Texts are dealt out before, as a table can be one file of one row group, that is one task.
+    """
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.select(F.col(stream).alias("stream"), F.col(text).alias("text")).repartition(tasks, "stream")
+    n = F.greatest(F.ceil(F.length("text") / size).cast("int"), F.lit(1))
+    rows = dealt.select("stream", "text", (n - 1).alias("last"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    return rows.select("stream", "seq", F.substr("text", F.col("seq") * size + 1, F.lit(size)).alias("chunk"), (F.col("seq") == F.col("last")).alias("eof"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

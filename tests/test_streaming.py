@@ -1,7 +1,9 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import registry
 from tessera.sources.spec import DIALECTS
@@ -85,3 +87,32 @@ def test_the_registered_groups_drop_the_cut_off_ones(spark, tmp_path):
     got = {(r["stream"], r["rec_no"]): (r["name"], r["bases"]) for r in registry.stream_grouped_lines(spark, str(tmp_path)).collect()}
     want = {(str(k), 0): (s, len(p)) for k, s, p in rows} | {(str(k), 1): ("last", 0) for k, s, _ in rows if s == "F"}
     assert got == want
+
+
+def test_a_table_of_one_row_group_is_cut_by_many_tasks(spark, tmp_path):
+    rows = [(str(i), f"@{i}\n" * (i % 5) + "é", i) for i in range(200)] + [("null", None, 0), ("", "", 0)]
+    spark.createDataFrame(rows, "k string, t string, n int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = streaming.sequenced(spark.read.parquet(str(tmp_path / "t")), 3, "k", "t").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 1
+    want = {(k, q, t and t[3 * q : 3 * q + 3], 3 * q + 3 >= len(t or "")) for k, t, _ in rows for q in range(max(1, -(-len(t or "") // 3)))}
+    assert len(got) == len(want) and {(r["stream"], r["seq"], r["chunk"], r["eof"]) for r in got} == want
+
+
+def test_neighbours_of_a_stream_cross_as_one_row():
+    rows = [("a", 0, "é\n", False), ("a", 1, None, False), ("a", 2, "x", True), ("a", 4, "y", None), ("b", 5, "", False), ("b", 5, "z", True), (None, 0, "p", False), (None, 1, "q", True)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("stream", "seq", "chunk", "eof"), r, strict=True)) for r in rows])
+    want = [("a", 0, "é\nx", True), ("a", 4, "y", False), ("b", 5, "", False), ("b", 5, "z", True), (None, 0, "p", False), (None, 1, "q", True)]
+    for cut, expected in ((batch, want), (batch.slice(1), [("a", 1, "x", True), *want[1:]]), (batch.slice(0, 2), [("a", 0, "é\n", False)])):
+        (got,) = streaming._joined(iter([cut]))
+        assert [tuple(r.values()) for r in got.to_pylist()] == expected and got.schema.names == batch.schema.names
+    assert list(streaming._joined(iter([batch.slice(0, 0)]))) == []
+
+
+@pytest.mark.parametrize("size", [1, 4000])
+def test_records_leave_in_rows_of_bounded_size(size):
+    texts = {f"s{i}": "a\r\n\nb\n" + "y" * size + "\n" + "rest" for i in range(50)}
+    run = streaming._fold(lambda t, _: streaming.raw_groups(t, 2), "raw", True)
+    (got,) = run((0,), iter([pd.DataFrame([(s, 0, t, True) for s, t in texts.items()], columns=["stream", "seq", "chunk", "eof"])]), _Held())
+    flat = [x for r in got.itertuples() for x in zip(r.stream, r.rec_no, r.raw, strict=True)]
+    assert flat == [(s, n, x) for s in texts for n, x in enumerate(["a\n", "b\n" + "y" * size])]
+    assert len(got) == (5 if size == 1 else 100)
